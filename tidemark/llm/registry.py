@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_bpe import digests
+
+    return digests(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import token_store
 
@@ -24,7 +30,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_store,)}
+    return {f.__name__: f for f in (op1_sentencepiece, op4_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,8 +29,14 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op4_token_store)}
+    return {f.__name__: f for f in (op1_sentencepiece, op4_token_store, op9_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -99,3 +99,14 @@ def test_altered_chunk_is_found(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     store.chunks = store.chunks.withColumn("payload", F.when(F.col("n") == 3, F.lit(b"\x01\x00\x02\x00\x02\x00")).otherwise(F.col("payload")))
     assert {r.doc_id: r.verified for r in store.documents().collect()} == {1: False, 2: True}
+
+
+def test_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.token_store import encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), encoder(path)
+    texts = [*_texts(), "It's they'll İstanbul, ÀÉ. ét. ... a.. b., x.y Σας ΟΔΟΣ. ǅ, ß! 12. 1a, don't.", "Thble, thble. THBLE\u0085x\x1cy z　w <|startoftext|>a."]
+    assert [np.frombuffer(x, enc.kind).tolist() for x in enc(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]

@@ -20,7 +20,9 @@ besides doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ from pyspark.sql.window import Window
 
 from .common import fresh_path, settle
 
-WINDOW, MIN, MAX, MASK_BITS = 16, 64, 2048, 8
-CACHE = 400_000
+WINDOW, MIN, MAX, MASK_BITS = 8, 64, 2048, 8
+CACHE = 900_000
+#: A stop or comma that belongs to a longer run of signs.
+JOINED = re.compile(r"[^\w\s][.,]|_[.,]")
 
 _state: dict = {}
 
@@ -40,7 +44,8 @@ class Encoder:
     """Ids of whole texts as the tokenizers library gives them, looked up by blank-separated part.
 
     The tokenizer's own pre-tokenisation never joins across a blank or line feed, so a text's ids are those of its parts
-    in order; parts seen before come from a bounded cache.
+    in order; parts seen before come from a bounded cache. New parts that
+    are plain words go to the library many to a call; each ends with the one id that closes a word.
     """
 
     def __init__(self, path: str):
@@ -49,19 +54,69 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.cache = Tokenizer.from_file(path), {"": b""}
+        self.tok, self.cache = Tokenizer.from_file(path), {}
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.kind = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.asarray(ids, self.kind).tobytes()
+
+    def _words(self, words: list[str]) -> None:
+        """Caches lower-case words of letters only."""
+        for k in range(0, len(words), 500):
+            some = words[k : k + 500]
+            ids = np.asarray(self._ids(" ".join(some)), self.kind)
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * ids.itemsize).tolist()
+            if len(ends) == len(some):
+                raw = ids.tobytes()
+                self.cache.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+            else:
+                self.cache.update((w, self._bytes(self._ids(w))) for w in some)
+
+    def _add(self, new: set[str]) -> None:
+        words = [w for w in new if w.isalpha() and max(w) < "\u0130"]  # below the first letter that lower-cases to two
+        self._words(words)
+        hard = [w for w in new if w not in self.cache]
+        for k in range(0, len(hard), 20_000):
+            some = hard[k : k + 20_000]
+            for w, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False), strict=True):
+                self.cache[w] = self._bytes(e.ids)
+
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        """A text's parts. In Latin-1 text letters are lower-cased at once, and stops and commas after a letter, digit or
+        blank are cut off the word before them, as the tokenizer itself would do: fewer distinct parts."""
+        text = text.replace("\n", " ")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(" ")
+        if "<|" not in text:
+            text = text.lower()
+            if not JOINED.search(text):
+                text = text.replace(".", " .").replace(",", " ,")
+        return text.split(" ")
 
     def __call__(self, texts: list) -> list:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        cache = self.cache
-        new = list({w for p in parts for w in p if w not in cache})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for w, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False), strict=True):
-                cache[w] = np.asarray(e.ids, "<u4").tobytes()
-        out = [b"".join([cache[w] for w in p]) for p in parts]
-        if len(cache) > CACHE:
-            self.cache = {"": b""}
+        """The ids of each text, as bytes of ``kind``."""
+        parts = [self._parts(t or "") for t in texts]
+        flat = list(chain.from_iterable(parts))
+        found = list(map(self.cache.get, flat))
+        if missing := [i for i, x in enumerate(found) if x is None]:
+            self._add({flat[i] for i in missing})
+            for i in missing:
+                found[i] = self.cache[flat[i]]
+        out, begin = [], 0
+        for p in parts:
+            out.append(b"".join(found[begin : begin + len(p)]))
+            begin += len(p)
+        if len(self.cache) > CACHE:
+            self.cache = {}
         return out
 
 
@@ -89,7 +144,7 @@ def cut(ids: np.ndarray) -> list[int]:
     g = _gear()[ids.astype(np.int64) & 0x1FFFF]
     h = g.copy()
     for k in range(1, WINDOW):
-        h[k:] += g[:-k] << np.uint64(k * 4)
+        h[k:] += g[:-k] << np.uint64(k * 64 // WINDOW)
     at = np.flatnonzero(h >> np.uint64(64 - MASK_BITS) == np.uint64((1 << MASK_BITS) - 1)) + 1
     ends, last = [], 0
     for e in at.tolist():
@@ -140,14 +195,14 @@ def _stage(path: str, end_id: int | None, width: int):
 
     def run(batches):
         enc, seen, kind = encoder(path), set(), f"<u{width}"
-        tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
+        tail = b"" if end_id is None else np.asarray([end_id], enc.kind).tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 rows: list[tuple] = []
                 for doc, raw in zip(part.column(0).to_pylist(), enc(part.column(1).to_pylist()), strict=True):
-                    ids = np.frombuffer(raw + tail, "<u4")
-                    data, begin, own = ids.astype(kind), 0, []
+                    ids = np.frombuffer(raw + tail, enc.kind)
+                    data, begin, own = ids.astype(kind, copy=False), 0, []
                     for end in cut(ids):
                         body = data[begin:end].tobytes()
                         key = hashlib.blake2b(body, digest_size=16).digest()

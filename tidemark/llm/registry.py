@@ -23,6 +23,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import token_store
 
@@ -42,8 +48,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op4_token_store, op6_pii, op9_embedding_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_decontaminate, op4_token_store, op6_pii, op9_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import decontaminate
+
+    return {"op3_decontaminate": decontaminate.SQL}

@@ -108,5 +108,5 @@ def test_encoder_equals_library():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok, enc = Tokenizer.from_file(path), encoder(path)
-    texts = [*_texts(), "It's they'll İstanbul, ÀÉ. ét. ... a.. b., x.y Σας ΟΔΟΣ. ǅ, ß! 12. 1a, don't.", "Thble, thble. THBLE\u0085x\x1cy z　w <|startoftext|>a."]
-    assert [np.frombuffer(x, enc.kind).tolist() for x in enc(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    texts = [*_texts(), "It's they'll İstanbul, ÀÉ. ét. ... a.. b., x.y Σας ΟΔΟΣ. ǅ, ß! 12. 1a, don't.", "Thble, thble. THBLE\u0085x\x1cy z　w <|startoftext|>a.", "ÿ. µ, a_. ...x", "１. ½, ² ."]
+    assert [x.tolist() for x in enc(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]

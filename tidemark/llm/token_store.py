@@ -20,12 +20,11 @@ besides doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,9 +32,11 @@ from pyspark.sql.window import Window
 from .common import fresh_path, settle
 
 WINDOW, MIN, MAX, MASK_BITS = 8, 64, 2048, 8
-CACHE = 900_000
+CACHE = 700_000
 #: A stop or comma that belongs to a longer run of signs.
-JOINED = re.compile(r"[^\w\s][.,]|_[.,]")
+JOINED = r"[^\p{L}\p{N}\s][.,]"
+#: A character outside Latin-1.
+WIDE = r"[^\x{0}-\x{FF}]"
 
 _state: dict = {}
 
@@ -88,35 +89,44 @@ class Encoder:
                 self.cache[w] = self._bytes(e.ids)
 
     @staticmethod
-    def _parts(text: str) -> list[str]:
-        """A text's parts. In Latin-1 text letters are lower-cased at once, and stops and commas after a letter, digit or
+    def _parts(texts: pa.Array) -> pa.ListArray:
+        """Each text's parts. In Latin-1 text letters are lower-cased at once, and stops and commas after a letter, digit or
         blank are cut off the word before them, as the tokenizer itself would do: fewer distinct parts."""
-        text = text.replace("\n", " ")
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.split(" ")
-        if "<|" not in text:
-            text = text.lower()
-            if not JOINED.search(text):
-                text = text.replace(".", " .").replace(",", " ,")
-        return text.split(" ")
-
-    def __call__(self, texts: list) -> list:
-        """The ids of each text, as bytes of ``kind``."""
-        parts = [self._parts(t or "") for t in texts]
-        flat = list(chain.from_iterable(parts))
-        found = list(map(self.cache.get, flat))
-        if missing := [i for i, x in enumerate(found) if x is None]:
-            self._add({flat[i] for i in missing})
-            for i in missing:
-                found[i] = self.cache[flat[i]]
-        out, begin = [], 0
-        for p in parts:
-            out.append(b"".join(found[begin : begin + len(p)]))
-            begin += len(p)
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        plain = pc.invert(pc.or_(pc.match_substring_regex(texts, WIDE), pc.match_substring(texts, "<|")))
+        texts = pc.if_else(plain, pc.utf8_lower(texts), texts)
+        free = pc.and_(plain, pc.invert(pc.match_substring_regex(texts, JOINED)))
+        return pc.split_pattern(pc.if_else(free, pc.replace_substring(pc.replace_substring(texts, ".", " ."), ",", " ,"), texts), " ")
+
+    def batches(self, texts: pa.Array, chars: int = 4 << 20):
+        """The ids of the texts in order, as (number of texts, their ids in one array, ends of each text's ids)."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + chars, "right")))
+            yield (end - begin, *self._encode(texts.slice(begin, end - begin)))
+            begin = end
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = self._parts(texts)
+        coded = parts.flatten().dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        self._add({w for w in distinct if w not in self.cache})
+        raw = [self.cache[w] for w in distinct]
         if len(self.cache) > CACHE:
             self.cache = {}
+        flat = np.frombuffer(b"".join(raw), self.kind)
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // flat.itemsize
+        n = size[codes]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(size) - size)[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.append(0, ends)[parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()]
+
+    def __call__(self, texts: list) -> list[np.ndarray]:
+        """The ids of each text."""
+        out = []
+        for _, ids, ends in self.batches(pa.array(texts, pa.string())):
+            out += np.split(ids, ends[:-1])
         return out
 
 
@@ -195,13 +205,13 @@ def _stage(path: str, end_id: int | None, width: int):
 
     def run(batches):
         enc, seen, kind = encoder(path), set(), f"<u{width}"
-        tail = b"" if end_id is None else np.asarray([end_id], enc.kind).tobytes()
+        tail = np.asarray([] if end_id is None else [end_id], enc.kind)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            keys, done = batch.column(0).to_pylist(), 0
+            for n, flat, ends in enc.batches(batch.column(1)):
                 rows: list[tuple] = []
-                for doc, raw in zip(part.column(0).to_pylist(), enc(part.column(1).to_pylist()), strict=True):
-                    ids = np.frombuffer(raw + tail, enc.kind)
+                for doc, own_ids in zip(keys[done : done + n], np.split(flat, ends[:-1]), strict=True):
+                    ids = np.concatenate([own_ids, tail])
                     data, begin, own = ids.astype(kind, copy=False), 0, []
                     for end in cut(ids):
                         body = data[begin:end].tobytes()
@@ -212,6 +222,7 @@ def _stage(path: str, end_id: int | None, width: int):
                             rows.append((None, None, None, key, end - begin, body))
                         begin = end
                     rows.append((doc, len(ids), own, None, None, None))
+                done += n
                 if len(seen) > 1_000_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), STAGED, strict=True)], schema=STAGED)

@@ -23,6 +23,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -48,7 +54,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_decontaminate, op4_token_store, op6_pii, op9_embedding_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_decontaminate, op4_token_store, op6_pii, op9_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,16 +77,23 @@ def _cell_counts(docs: DataFrame, words: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["range", "cells", "n"])
 
     def total(batches):
-        sums: dict[int, np.ndarray] = {}
+        at, sums = None, None
         for b in batches:
             for r, c, n in zip(b["range"], b["cells"], b["n"]):
-                sums.setdefault(r, np.zeros(width, np.int64))[np.frombuffer(c, np.uint32)] += np.frombuffer(n, np.uint32)
-        for r, s in sums.items():
-            at = np.flatnonzero(s > 1)
-            yield pd.DataFrame({"cell": at + r * width, "n": s[at]})
+                if r != at:
+                    if at is not None:
+                        yield several(at, sums)
+                    at, sums = r, np.zeros(width, np.int64)
+                sums[np.frombuffer(c, np.uint32)] += np.frombuffer(n, np.uint32)
+        if at is not None:
+            yield several(at, sums)
+
+    def several(r, sums):
+        cell = np.flatnonzero(sums > 1)
+        return pd.DataFrame({"cell": cell + r * width, "n": sums[cell]})
 
     parts = docs.select("text").mapInPandas(count, "range int, cells binary, n binary")
-    return parts.repartition(RANGES, "range").mapInPandas(total, "cell long, n long")
+    return parts.repartition("range").sortWithinPartitions("range").mapInPandas(total, "cell long, n long")
 
 
 def hot_cells(docs: DataFrame, words: int = WORDS, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:

@@ -115,6 +115,13 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 5, words: int
     return hit.where(F.col("found") >= F.ceil(F.size(F.array_distinct("win")) * share)).select("doc_id", (F.col("pos") - F.col("rel") + start).alias("start"), F.concat_ws(",", "items").alias("items"), "found")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, words: int = WORDS) -> DataFrame:
+    """docs, all columns, without the rows whose text holds a window of the benchmark; texts are told apart by their digest."""
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    found = decontaminate(docs.select(digest.alias("doc_id"), "text"), benchmark, words).where("contaminated")
+    return docs.withColumn("_digest", digest).join(found.select(F.col("doc_id").alias("_digest")).distinct(), "_digest", "left_anti").select(*docs.columns)
+
+
 SQL = r"""
 with d as (
   select doc_id, row_number() over () as rid,

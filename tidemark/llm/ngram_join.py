@@ -111,17 +111,17 @@ def hot_cells(docs: DataFrame, words: int = WORDS, most: int = HOT) -> tuple[np.
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(rid, doc_id, n, cid, gid, prefix, bits, set) of every row."""
+    """(rid, doc_id, digest: of the text, n, cid, gid, prefix, bits, set) of every row."""
     hot = docs.sparkSession.sparkContext.broadcast(hot_cells(docs, words))
 
     def make(batches):
         cells, freq = hot.value
         for b in batches:
             rows = []
-            for rid, doc, s in zip(b["rid"], b["doc_id"].tolist(), shingles(b["text"].tolist(), words)):
+            for rid, doc, digest, s in zip(b["rid"], b["doc_id"].tolist(), b["digest"].tolist(), shingles(b["text"].tolist(), words)):
                 n = len(s)
                 if not n:
-                    rows.append((rid, doc, 0, None, None, None, None, None))
+                    rows.append((rid, doc, digest, 0, None, None, None, None, None))
                     continue
                 f = np.zeros(n, np.int64)
                 if len(cells):
@@ -131,12 +131,12 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 prefix = s[np.lexsort((s, f))][: n - -(-percent * n // 100) + 1].view(np.int64)
                 bits = np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
                 gid = hashlib.md5(n.to_bytes(8, "little") + prefix.tobytes()).hexdigest()
-                rows.append((rid, doc, n, hashlib.md5(s.tobytes()).hexdigest(), gid, prefix, bits, s.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["rid", "doc_id", "n", "cid", "gid", "prefix", "bits", "set"])
+                rows.append((rid, doc, digest, n, hashlib.md5(s.tobytes()).hexdigest(), gid, prefix, bits, s.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["rid", "doc_id", "digest", "n", "cid", "gid", "prefix", "bits", "set"])
 
     # ids go through pandas as text: it would make long ids of a batch with nulls inexact
-    plain = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "rid long, doc_id string, n long, cid string, gid string, prefix array<long>, bits array<long>, set array<long>"
+    plain = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = "rid long, doc_id string, digest string, n long, cid string, gid string, prefix array<long>, bits array<long>, set array<long>"
     return settle(plain.mapInPandas(make, schema).withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
 
 
@@ -169,7 +169,7 @@ def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: int
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) of every row of docs (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, class_id, component, digest) of every row of docs (doc_id, text)."""
     sets = _sets(docs, words, percent)
     filled = sets.where("n > 0")
     classes = settle(filled.groupBy("cid").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bits").alias("bits")), "classes")
@@ -207,9 +207,21 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         links = links.unionAll(verified(pairs, sets, classes, percent))
         comp = classes.select("cid").join(components(links, name="ngram").select(F.col("node").alias("cid"), "component"), "cid", "left")
         comp = settle(comp.select("cid", F.coalesce("component", "cid").alias("comp")), "comp")
-    rows = sets.select("doc_id", "n", "cid")
+    rows = sets.select("doc_id", "n", "cid", "digest")
     least = filled.groupBy("cid").agg(F.min("doc_id").alias("low")).join(comp, "cid")
     ids = least.groupBy("comp").agg(F.min("low").alias("component_id"))
-    by_class = salted(least.select("comp", "cid"), ids, "comp").select("cid", "component_id")
-    found = salted(rows.where("cid is not null"), by_class, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cid").alias("class_id"))
-    return found.unionAll(rows.where("cid is null").select("doc_id", "n", "doc_id", "cid"))
+    by_class = salted(least.select("comp", "cid"), ids, "comp").select("cid", "component_id", "comp")
+    found = salted(rows.where("cid is not null"), by_class, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cid").alias("class_id"), F.col("comp").alias("component"), "digest")
+    return found.unionAll(rows.where("cid is null").select("doc_id", "n", "doc_id", "cid", "cid", "digest"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs without all but one row of each component: the smallest doc_id's (of equal ids, the smallest digest of the text).
+    Rows without shingles all stay."""
+    found = join(docs, words, percent).where("component is not null")
+    head = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("h"))
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_digest")]
+    chosen = head.select(F.coalesce(F.col("h.doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("h.digest").alias("_digest"))
+    blank = F.coalesce("text", F.lit("")).rlike(r"\A[\x20\x09-\x0D]*\z")
+    kept = docs.where(~blank).select("*", *key).join(chosen, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"])
+    return kept.select(*docs.columns).unionAll(docs.where(blank))

@@ -47,6 +47,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_duplicates
 
@@ -54,7 +60,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_decontaminate, op4_token_store, op6_pii, op9_embedding_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_decontaminate, op4_token_store, op6_pii, op8_toxicity, op9_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -47,6 +47,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_table(spark, sf_dir, "documents"))
 
 
+def op7_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .site_style import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
@@ -59,8 +65,14 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_decontaminate, op4_token_store, op6_pii, op8_toxicity, op9_embedding_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_decontaminate, op4_token_store, op6_pii, op7_site_style, op8_toxicity, op9_embedding_dedup, op10_cross_entropy)}
 
 
 def oracle_sql() -> dict[str, str]:

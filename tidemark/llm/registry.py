@@ -41,6 +41,12 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find
 
@@ -72,7 +78,7 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_decontaminate, op4_token_store, op6_pii, op7_site_style, op8_toxicity, op9_embedding_dedup, op10_cross_entropy)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_decontaminate, op4_token_store, op5_licenses, op6_pii, op7_site_style, op8_toxicity, op9_embedding_dedup, op10_cross_entropy)}
 
 
 def oracle_sql() -> dict[str, str]:

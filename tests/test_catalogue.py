@@ -3,8 +3,9 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import catalogue
+from tidemark.plans import catalogue, timeline
 
+QUERIES, SQL = catalogue.queries() | timeline.queries(), catalogue.oracle_sql() | timeline.oracle_sql()
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
@@ -16,12 +17,12 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", list(catalogue.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    df = catalogue.queries()[name](spark, DIR)
+    df = QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
     got = sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
-    want = db.sql(catalogue.oracle_sql()[name])
+    want = db.sql(SQL[name])
     assert sorted(want.columns) == cols
     want = sorted(want.select(", ".join(cols)).fetchall(), key=repr)
     assert len(got) == len(want) and got == want

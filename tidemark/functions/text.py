@@ -1,0 +1,46 @@
+"""Column functions on names, file names and result lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Tags in brackets before a name, and recording times in file names.
+TAG = r"^\s*[\[(<][^\])>]*[\])>]\s*"
+STAMP = r"(20[0-9]{2})[-._]?([01][0-9])[-._]?([0-3][0-9])[ _T-]+([0-2][0-9])[-.:_]?([0-5][0-9])[-.:_]?([0-5][0-9])"
+
+
+def name_key(name: Column) -> Column:
+    """Lower-case letters and digits of a name without its leading tag; a name of nothing else is null."""
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_replace(name, TAG, "")), r"[^\p{L}\p{N}]", ""), F.lit(""))
+
+
+def glyph_family(key: Column) -> Column:
+    """Runs of i and l, which look alike, as one i in ASCII keys of ten characters or more."""
+    return F.when(key.rlike("^[ -~]{10,}$"), F.regexp_replace(key, "[il]+", "i")).otherwise(key)
+
+
+def recording_time(file_name: Column) -> Column:
+    """The time in a file name (date and time with -, ., _ or no separators); impossible dates and other names: null."""
+    p = [F.regexp_extract(file_name, STAMP, i) for i in range(1, 7)]
+    return F.try_to_timestamp(F.concat(*p[:3], F.lit(" "), *p[3:]), F.lit("yyyyMMdd HHmmss"))
+
+
+def clock(seconds: Column) -> Column:
+    """m:ss of whole seconds; negative and unknown: null."""
+    s = F.floor(seconds)
+    return F.when(s >= 0, F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0")))
+
+
+def first_rule(text: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
+    """The name of the first rule (name, pattern) whose pattern the text holds."""
+    out = None
+    for name, pattern in rules:
+        out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
+    return F.lit(otherwise) if out is None else out.otherwise(F.lit(otherwise))
+
+
+def bit_dice(a: Column, b: Column) -> Column:
+    """Dice similarity of two bitmaps held in whole numbers; two empty ones: 0."""
+    total = F.bit_count(a) + F.bit_count(b)
+    return F.when(total == 0, 0.0).otherwise(2.0 * F.bit_count(a.bitwiseAND(b)) / total)

@@ -38,3 +38,28 @@ def ranges(rows: DataFrame, key: str, number: str) -> DataFrame:
     d = rows.select(key, F.col(number).cast("long").alias("_n")).where("_n is not null").distinct()
     g = d.withColumn("_g", F.col("_n") - F.row_number().over(Window.partitionBy(key).orderBy("_n")))
     return g.groupBy(key, "_g").agg(F.min("_n").alias("first"), F.max("_n").alias("last")).drop("_g")
+
+
+def subtract(kept: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
+    """The parts of kept's intervals that no excluded interval covers: a sweep over the edges of both."""
+
+    def edges(df: DataFrame, a: int, b: int) -> DataFrame:
+        m = merge(df, key)
+        point = lambda c, sign: F.struct(F.col(c).alias("t"), F.lit(a * sign).alias("a"), F.lit(b * sign).alias("b"))
+        return m.select(key, F.inline(F.array(point("start_us", 1), point("end_us", -1))))
+
+    w = Window.partitionBy(key).orderBy("t")
+    each = edges(kept, 1, 0).unionByName(edges(excluded, 0, 1)).groupBy(key, "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    cover = each.select(key, F.col("t").alias("start_us"), F.lead("t").over(w).alias("end_us"), F.sum("a").over(upto).alias("_a"), F.sum("b").over(upto).alias("_b"))
+    return merge(cover.where("_a > 0 and _b = 0"), key).drop("n")
+
+
+def snap(intervals: DataFrame, marks: DataFrame, key: str, time: str) -> DataFrame:
+    """Intervals widened to the mark at or before their start and at or after their end (without one, as they are), then merged."""
+    from .joins import _marks
+
+    rows = intervals.select(key, "start_us", "end_us")
+    low = _marks(rows.withColumn(time, F.col("start_us")), marks, key, time).select(key, F.coalesce("_back", "start_us").alias("start_us"), "end_us")
+    high = _marks(low.withColumn(time, F.col("end_us")), marks, key, time).select(key, "start_us", F.coalesce("_ahead", "end_us").alias("end_us"))
+    return merge(high, key).drop("n")

@@ -19,15 +19,70 @@ def asof_previous(left: DataFrame, right: DataFrame, key: str, time: str, value:
     return both.withColumn("_l", last).where("_s = 1").select(*left.columns, F.col("_l.t").alias("prev_us"), F.col("_l.v").alias("prev_value"))
 
 
+def _marks(left: DataFrame, right: DataFrame, key: str, time: str) -> DataFrame:
+    """left with the times of the last right row at or before (_back) and of the first at or after (_ahead) each row.
+
+    Both frames run from the first row to the current one, in either direction, so each is one pass of a sorted key."""
+    both = left.select(*left.columns, F.lit(1).alias("_s")).unionByName(right.select(key, time, F.lit(0).alias("_s")), allowMissingColumns=True)
+    mark, w = F.when(F.col("_s") == 0, F.col(time)), Window.partitionBy(key)
+    back = F.max(mark).over(w.orderBy(F.asc(time), "_s").rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(mark).over(w.orderBy(F.desc(time), "_s").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_back", back).withColumn("_ahead", ahead).where("_s = 1").drop("_s")
+
+
 def band_semi(left: DataFrame, right: DataFrame, key: str, time: str, delta_us: int) -> DataFrame:
     """Rows of left with a right row of the same key at most delta_us away: the nearest neighbours on both sides decide."""
-    both = left.select(*left.columns, F.lit(1).alias("_s")).unionByName(right.select(key, time, F.lit(0).alias("_s")), allowMissingColumns=True)
-    mark = F.when(F.col("_s") == 0, F.col(time))
-    w = Window.partitionBy(key).orderBy(time)
-    back = F.max(mark).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.min(mark).over(w.rangeBetween(0, Window.unboundedFollowing))
-    near = both.withColumn("_b", back).withColumn("_a", ahead).where("_s = 1")
-    return near.where((F.col(time) - F.col("_b") <= delta_us) | (F.col("_a") - F.col(time) <= delta_us)).select(*left.columns)
+    near = _marks(left, right, key, time)
+    return near.where((F.col(time) - F.col("_back") <= delta_us) | (F.col("_ahead") - F.col(time) <= delta_us)).select(*left.columns)
+
+
+def asof_next(left: DataFrame, right: DataFrame, key: str, time: str, tolerance_us: int) -> DataFrame:
+    """left with next_us, the first right time at or after the row's own if it is less than tolerance_us away (else null)."""
+    near = _marks(left, right, key, time)
+    return near.select(*left.columns, F.when(F.col("_ahead") - F.col(time) < tolerance_us, F.col("_ahead")).alias("next_us"))
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, time: str) -> DataFrame:
+    """left with near_us, the right time of the same key closest to the row's (the earlier of two as close; null: none)."""
+    near = _marks(left, right, key, time)
+    later = F.col("_back").isNull() | (F.col("_ahead") - F.col(time) < F.col(time) - F.col("_back"))
+    return near.select(*left.columns, F.coalesce(F.when(later, F.col("_ahead")), F.col("_back")).alias("near_us"))
+
+
+def overlap(left: DataFrame, right: DataFrame, key: str, bucket_us: int) -> DataFrame:
+    """Pairs of intervals of one key with more than a point in common, as (key, l_start, l_end, r_start, r_end).
+
+    Each interval is dealt to the time buckets it touches, and a pair is made only in the bucket where its later start
+    lies, so none comes twice; bucket_us should be near the usual length. Empty or unbounded intervals match nothing."""
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        first, last = F.floor(F.col("start_us") / bucket_us), F.floor((F.col("end_us") - 1) / bucket_us)
+        ok = df.where("start_us < end_us")
+        return ok.select(key, F.col("start_us").alias(f"{side}_start"), F.col("end_us").alias(f"{side}_end"), F.explode(F.sequence(first, last)).alias("_b"))
+
+    pairs = dealt(left, "l").join(dealt(right, "r"), [key, "_b"]).where("l_start < r_end and r_start < l_end")
+    return pairs.where(F.floor(F.greatest("l_start", "r_start") / bucket_us) == F.col("_b")).drop("_b")
+
+
+def merge_existing(existing: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
+    """Full outer merge of two tables of the same columns: where both know a key, known values of existing win."""
+    rest = [c for c in existing.columns if c not in keys]
+    old, new = (df.select(*keys, *[F.col(c).alias(f"{side}{c}") for c in rest]) for df, side in ((existing, "_e_"), (added, "_a_")))
+    return old.join(new, keys, "full").select(*keys, *[F.coalesce(f"_e_{c}", f"_a_{c}").alias(c) for c in rest])
+
+
+def within_one_edit(names: DataFrame, dimension: DataFrame, name: str, known: str) -> DataFrame:
+    """(name, known, distance) for distinct names and dimension entries at most one edit apart.
+
+    Two strings that close share themselves or a string with one letter dropped: an equi-join on those, then the exact distance."""
+
+    def keyed(df: DataFrame, col: str) -> DataFrame:
+        cut = F.transform(F.sequence(F.lit(1), F.length(col)), lambda i: F.concat(F.substring(col, F.lit(1), i - 1), F.substring(col, i + 1, F.length(col))))
+        every = F.when(F.length(col) > 0, F.array_union(F.array(col), cut)).otherwise(F.array(col))
+        return df.where(F.col(col).isNotNull()).select(col).distinct().select(col, F.explode(every).alias("_k"))
+
+    d = F.levenshtein(F.col(name), F.col(known), 1)
+    return keyed(names, name).join(keyed(dimension, known), "_k").select(name, known, d.alias("distance")).where("distance >= 0").distinct()
 
 
 def in_interval(events: DataFrame, intervals: DataFrame, key: str, time: str) -> DataFrame:

@@ -3,7 +3,11 @@
 The target model counts the rows labelled of good quality, the background model all rows. Both are bigram models over one shared
 vocabulary (all words of the corpus), smoothed alike: p(w | v) = (c(v, w) + MU * p(w)) / (c(v) + MU), p(w) = (c(w) + 1) / (N + V).
 A document's score is the mean over its words of log p_target - log p_background: above 0, it is more like the target. All counts
-come from all rows and stay distributed; they are joined with the words by bigram. Words are told apart by 64-bit hashes.
+come from all rows and stay distributed. Words are told apart by 64-bit hashes.
+
+A bigram's loss is a part that depends on w less one that depends on v. For a bigram seen once both follow from the counts of words
+and the row's own label, so every word first gets that loss from the table of words. Only bigrams seen more often are written as a
+table, with what their loss differs by, and joined with the words' bigrams. The sums are those of the plain formula.
 
 Row semantics: each row is scored by itself; null or wordless text has no words and score 0; a null doc_id is never labelled, labels
 of a repeated doc_id hold for all its rows; a doc_id labelled both ways is of the target. Without target rows its model is uniform.
@@ -15,34 +19,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import forget, settle, small
 
 MU = 4.0
 BREAKS = r"[^\p{L}\p{N}]+"
 
 
-def _bigrams(docs: DataFrame) -> DataFrame:
-    """(rid, target, v, w) of all bigrams; v is null before the first word."""
+#: Stands before the first word; no word is written like this.
+START = "^"
+
+
+def _hashes(docs: DataFrame) -> DataFrame:
+    """(rid, target, h): the hashes of START and all words in order."""
     words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), BREAKS), "")
-    hashed = docs.select("rid", "target", F.transform(words, lambda x: F.xxhash64(x)).alias("h"))
-    each = hashed.select("rid", "target", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(None).cast("long")), F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0)))).alias("v"), F.col("h").alias("w"))).alias("i", "x"))
-    return each.where("x.w is not null").select("rid", "target", F.col("x.v").alias("v"), F.col("x.w").alias("w"))
+    return docs.select("rid", "target", F.transform(F.concat(F.array(F.lit(START)), words), lambda x: F.xxhash64(x)).alias("h"))
+
+
+#: Spark's setting that deletes a query's shuffle files when the query has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _once(df: DataFrame, name: str) -> DataFrame:
+    """settle, after which nothing reads df's shuffle files again: they are deleted at its end, not when the driver next collects garbage."""
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        return settle(df, name)
+    finally:
+        conf.set(CLEAN_UP, before) if before is not None else conf.unset(CLEAN_UP)
 
 
 def score(docs: DataFrame, labels: DataFrame, mu: float = MU) -> DataFrame:
     """(doc_id, n_words, score) of every row of docs (doc_id, text), with labels (doc_id, quality)."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(1))
-    rows = settle(docs.select("doc_id", "text").join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target")).withColumn("rid", F.monotonically_increasing_id()), "lm-rows")
-    seen = _bigrams(rows)
-    pairs = settle(seen.groupBy("v", "w").agg(F.sum("target").alias("t"), F.count("*").alias("b")), "lm-bigrams")
-    ones = settle(pairs.groupBy("w").agg(F.sum("t").alias("wt"), F.sum("b").alias("wb")), "lm-words")
-    before = pairs.groupBy("v").agg(F.sum("t").alias("vt"), F.sum("b").alias("vb"))
-    size = ones.agg(F.count("*"), F.coalesce(F.sum("wt"), F.lit(0)), F.coalesce(F.sum("wb"), F.lit(0))).first()
+    rows = _once(docs.select("doc_id", "text").join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target")).withColumn("rid", F.monotonically_increasing_id()), "lm-rows")
+    h = _hashes(rows)
+
+    # Each item as a word (all but START) and as the context of the next one (all but the last).
+    items = h.select("rid", "target", F.size("h").alias("n"), F.posexplode("h").alias("i", "w"))
+    items = items.select("rid", "target", "w", (F.col("i") > 0).cast("int").alias("word"), (F.col("i") < F.col("n") - 1).cast("int").alias("ctx"))
+    both = lambda c: (F.sum(F.col(c) * F.col("target")), F.sum(c))
+    counts = [x.alias(n) for n, x in zip(("wt", "wb", "vt", "vb"), (*both("word"), *both("ctx")))]
+    ones = _once(items.groupBy("w").agg(*counts), "lm-words")
+    size = ones.where("wb > 0").agg(F.count("*"), F.coalesce(F.sum("wt"), F.lit(0)), F.coalesce(F.sum("wb"), F.lit(0))).first()
     p = lambda c, n: (F.col(c) + 1.0) / float(n + size[0] or 1)
-    typed = pairs.join(ones, "w").withColumnRenamed("v", "v0").join(before, F.col("v0").eqNullSafe(F.col("v")))
-    loss = F.log((F.col("t") + mu * p("wt", size[1])) / (F.col("vt") + mu)) - F.log((F.col("b") + mu * p("wb", size[2])) / (F.col("vb") + mu))
-    diff = settle(typed.select(F.xxhash64("v0", "w").alias("vw"), loss.alias("d")), "lm-losses")
-    held = seen.select("rid", F.xxhash64("v", "w").alias("vw"))
-    summed = held.join(diff, "vw").groupBy("rid").agg(F.count("*").alias("n_words"), F.avg("d").alias("score"))
+    a = lambda t, b: F.log(t + mu * p("wt", size[1])) - F.log(b + mu * p("wb", size[2]))
+    c = F.log(F.col("vt") + mu) - F.log(F.col("vb") + mu)
+    table = ones.select("w", a(F.lit(0), F.lit(1)).alias("a0"), a(F.lit(1), F.lit(1)).alias("a1"), c.alias("c"))
+    own = F.when(F.col("target") == 1, F.col("a1")).otherwise(F.col("a0"))
+    alone = items.join(small(table, 64), "w").groupBy("rid").agg(F.sum("word").alias("n"), F.sum(F.col("word") * own - F.col("ctx") * F.col("c")).alias("s"))
+    alone = _once(alone, "lm-alone")
+
+    n = F.size("h") - 1
+    seen = h.select("rid", "target", F.inline(F.arrays_zip(F.slice("h", 1, n).alias("v"), F.slice("h", 2, n).alias("w"))))
+    often = seen.groupBy("v", "w").agg(F.sum("target").alias("t"), F.count("*").alias("b")).where("b > 1")
+    often = _once(often, "lm-bigrams")
+    more = often.join(small(ones.select("w", "wt", "wb"), 64), "w")
+    more = more.select(F.xxhash64("v", "w").alias("vw"), *[(a(F.col("t"), F.col("b")) - a(F.lit(k), F.lit(1))).alias(f"d{k}") for k in (0, 1)])
+    held = seen.select("rid", "target", F.xxhash64("v", "w").alias("vw")).join(more, "vw")
+    extra = _once(held.groupBy("rid").agg(F.sum(F.when(F.col("target") == 1, F.col("d1")).otherwise(F.col("d0"))).alias("s")), "lm-extra")
+    forget(often, ones)
+
+    summed = alone.unionByName(extra.withColumn("n", F.lit(0).cast("long"))).groupBy("rid").agg(F.sum("n").alias("n_words"), F.sum("s").alias("s"))
     out = rows.select("rid", "doc_id").join(summed, "rid", "left")
-    return out.select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return out.select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.when(F.col("n_words") > 0, F.col("s") / F.col("n_words")).otherwise(0.0).alias("score"))

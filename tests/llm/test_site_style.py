@@ -18,3 +18,11 @@ def test_pages(spark):
 
 def test_empty(spark):
     assert S.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_importance_decides_inside_article_and_beside_it(spark):
+    rows = [(i, f"http://a.x/{i}", f"<body><article><div class=k>Read our guide</div><p>Text {i} of it</p></article></body>") for i in range(9)]
+    rows += [(20 + i, f"http://b.x/{i}", f"<body><article><p>Teaser {i}</p></article><div class=body>Long text {i}</div></body>") for i in range(9)]
+    got = {r.page_id: r.text for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Text {i} of it" for i in range(9))
+    assert all(got[20 + i] == f"Teaser {i}\n\nLong text {i}" for i in range(9))

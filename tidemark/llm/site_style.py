@@ -3,10 +3,9 @@
 Each page is parsed once into blocks: text, path of its style node (tags and classes from the root) and parent. Pages of one host are
 merged into one tree, as counts of (host, path, content) and (host, parent, child sequence). From them, for nodes on LEAST pages or more:
 content importance = entropy of the node's contents over log(occurrences), presentation importance = the same for the child sequences of
-its parent; a node's importance weighs them GAMMA to 1 - GAMMA. Nodes under LOW are removed from every page of the host, unless the
-host has no node at or above LOW (then all its pages are copies). Elements that are no main text by meaning (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, comments) are left out while parsing; where a page has an article or main element, its text
-is what stands in it, and nothing within is removed for low importance.
+its parent; a node's importance weighs them GAMMA to 1 - GAMMA. Nodes under LOW are removed from every page of the host. Elements that are no main text by meaning (menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, comments) are left out while parsing. Article and main elements are nodes like any other:
+blocks inside and outside them are counted, and importance decides on both. A page that would lose all its blocks keeps them.
 
 Counts are pre-aggregated, so a host of any size is never in one task. Row semantics: each row is extracted by itself; null or empty html
 gives an empty text; a null or malformed url is a host of its own name ''. Texts and pages have no caps. Empty tables give no rows.
@@ -36,12 +35,12 @@ SCOPE = set("ul ol dl table article main section div body aside nav footer heade
 
 
 class _Page(HTMLParser):
-    """Blocks as [path, parent path, in article, text]; and the child sequence of each parent."""
+    """Blocks as [path, parent path, text]; and the child sequence of each parent."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, left out, in article
-        self.blocks: list[tuple[str, str, bool, str]] = []
+        self.blocks: list[tuple[str, str, str]] = []
         self.children: dict[str, list[str]] = {}
         self.text: list[str] = []
 
@@ -51,7 +50,7 @@ class _Page(HTMLParser):
         if text:
             inner = [x for x in self.open if x[0] in BLOCK or not x[0]]
             path = inner[-1][1]
-            self.blocks.append((path, path.rpartition("/")[0], inner[-1][3], text))
+            self.blocks.append((path, path.rpartition("/")[0], text))
 
     def _close(self, at: int):
         if any(x[0] in BLOCK for x in self.open[at:]):
@@ -106,13 +105,12 @@ def _short(s: str) -> int:
 
 
 def parse(html: str | None):
-    """(blocks: [(path, parent, in article, text hash, text)], parents: [(path, child sequence)]) as hashes."""
+    """(blocks: [(path, parent, text hash, text)], parents: [(path, child sequence)]) as hashes."""
     page = _Page()
     page.feed(html or "")
     page.close()
     page.flush()
-    some = any(b[2] for b in page.blocks)
-    blocks = [{"path": _short(p), "parent": _short(q), "sure": inside, "h": _short(t), "text": t} for p, q, inside, t in page.blocks if inside or not some]
+    blocks = [{"path": _short(p), "parent": _short(q), "h": _short(t), "text": t} for p, q, t in page.blocks]
     return blocks, [{"path": _short(p), "h": _short("\n".join(c))} for p, c in page.children.items()]
 
 
@@ -124,12 +122,12 @@ def _importance(counts: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html)."""
-    node = "struct<path:long,parent:long,sure:boolean,h:long,text:string>"
+    node = "struct<path:long,parent:long,h:long,text:string>"
 
     def run(batches):
         for b in batches:
             got = [parse(h) for h in b.column(1).to_pylist()]
-            blocks = pa.array([x for x, _ in got], pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("sure", pa.bool_()), ("h", pa.int64()), ("text", pa.string())])))
+            blocks = pa.array([x for x, _ in got], pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("h", pa.int64()), ("text", pa.string())])))
             parents = pa.array([y for _, y in got], pa.list_(pa.struct([("path", pa.int64()), ("h", pa.int64())])))
             yield pa.RecordBatch.from_arrays([b.column(0), blocks, parents], names=["key", "blocks", "parents"])
 
@@ -137,16 +135,16 @@ def extract(pages: DataFrame) -> DataFrame:
     plain = pages.select(F.struct("page_id", "url", host.alias("host")).alias("key"), "html")
     key = plain.schema["key"].dataType.simpleString()
     parsed = settle(plain.mapInArrow(run, f"key {key}, blocks array<{node}>, parents array<struct<path:long,h:long>>").select("key.*", "blocks", "parents").withColumn("rid", F.monotonically_increasing_id()), "pages")
-    each = parsed.select("host", F.explode("blocks").alias("x")).where("not x.sure").select("host", "x.path", "x.parent", "x.h")
+    each = parsed.select("host", F.explode("blocks").alias("x")).select("host", "x.path", "x.parent", "x.h")
     contents = _importance(each.groupBy("host", "path", "h").agg(F.count("*").alias("n")))
     parent = each.groupBy("host", "path").agg(F.min("parent").alias("parent"))
     shapes = _importance(parsed.select("host", F.explode("parents").alias("x")).select("host", "x.*").groupBy("host", "path", "h").agg(F.count("*").alias("n")))
     both = contents.join(parent, ["host", "path"]).join(shapes.select("host", F.col("path").alias("parent"), F.col("e").alias("pe")), ["host", "parent"], "left")
     scored = both.select("host", "path", "m", (GAMMA * F.col("e") + (1 - GAMMA) * F.coalesce("pe", F.lit(1.0))).alias("importance"))
     low = F.when((F.col("importance") < LOW) & (F.col("m") >= LEAST), F.col("path"))
-    bad = settle(scored.groupBy("host").agg(F.max("importance").alias("top"), F.collect_set(low).alias("bad")).where((F.col("top") >= LOW) & (F.size("bad") > 0)).select("host", "bad"), "low-nodes")
+    bad = settle(scored.groupBy("host").agg(F.collect_set(low).alias("bad")).where(F.size("bad") > 0), "low-nodes")
     drop = salted(parsed.select("rid", "host"), bad, "host").select("rid", "bad")
     out = parsed.select("rid", "page_id", "url", "blocks").join(drop, "rid", "left")
-    kept = F.filter("blocks", lambda x: x.sure | F.col("bad").isNull() | ~F.array_contains("bad", x.path))
-    text = F.concat_ws("\n\n", F.transform(kept, lambda x: x.text))
+    kept = F.filter("blocks", lambda x: F.col("bad").isNull() | ~F.array_contains("bad", x.path))
+    text = F.concat_ws("\n\n", F.transform(F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks")), lambda x: x.text))
     return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -75,3 +75,14 @@ def test_find_and_sanitise(spark):
     assert texts[300] is None and texts[301] == "" and texts[302] == "call [PHONE] now" and texts[None] == "at [IP], é [CARD]"
     assert texts[0] == rows[0][1] and "zorblatt" not in texts[200] and "[EMAIL]" in texts[200] and "onlyincopies" in texts[400]
     assert find(docs.limit(0)).count() == 0 and sanitise(docs.limit(0)).count() == 0
+
+
+def test_terms_of_values_seen_once_or_twice(spark):
+    from tidemark.llm.pii import find, sanitise
+
+    rows = [(i, "plain words that stand in every text") for i in range(400)]
+    rows += [(500, "plain words zorblatt ann@example.org that stand"), (501, "words krazzle bob@example.org that stand"), (502, "plain krazzle bob@example.org in every text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_term for r in find(docs).collect() if r.n_term} == {500: 1, 501: 1, 502: 1}
+    texts = {r.doc_id: r.text for r in sanitise(docs).collect()}
+    assert texts[500] == "plain words [TERM] [EMAIL] that stand" and texts[501] == "words [TERM] [EMAIL] that stand" and texts[0] == rows[0][1]

@@ -3,9 +3,11 @@
 Base spans (email, ip, card, phone) come from linear scans of whole texts. The information-theoretic part then treats each
 distinct base value as a protected entity: every occurrence has a context of the WINDOW words on either side. Over the whole
 corpus, with n_te the distinct contexts of entity e that hold term t, n_e those of e, n_t the documents that hold t and N all
-documents, a term discloses the share PMI(t;e) / IC(e) of the entity's information, PMI = log2(n_te N / (n_t n_e)) and
-IC = log2(N / n_e). Terms in at least MIN_CONTEXTS distinct contexts that disclose DISCLOSURE or more are marked (kind
-``term``) in the contexts of that entity. Copies of a text share one context, so they are no evidence.
+documents, a term discloses the share PMI(t;e) / IC(e) of the entity's information, PMI = log2(n_te N / ((n_t + UNSEEN) n_e))
+and IC = log2(N / n_e). UNSEEN is the rule of three: a term not seen in N documents stands, at 95 % confidence, in
+at most 3 of N others. So few contexts lower the share but forbid nothing: of a value with one context, a word of its own is
+marked in corpora of 256 documents or more. Terms that disclose DISCLOSURE or more are marked (kind ``term``) in the contexts
+of that entity. Copies of a text share one context, so they are no evidence.
 
 ``sanitise`` replaces base spans by their kind, generalises marked terms, and removes those that disclose REMOVE or more.
 
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small
+from .common import BROADCAST_BYTES, settle, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, MIN_CONTEXTS, DISCLOSURE, REMOVE = 8, 3, 0.75, 0.95
+WINDOW, UNSEEN, DISCLOSURE, REMOVE = 8, 3, 0.75, 0.95
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -137,20 +139,21 @@ def scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kept}, {DDL}")
 
 
-def revealing(scanned: DataFrame, texts: DataFrame, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
+def revealing(scanned: DataFrame, texts: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, t, disclosed) of the terms that disclose a share ``disclosure`` or more of an entity, counted over all texts."""
     near = scanned.select(F.explode("contexts").alias("c")).select("c.entity", "c.ctx", F.array_distinct("c.terms.t").alias("ts"))
     n_e = near.groupBy("entity").agg(F.countDistinct("ctx").alias("n_e"))
-    n_te = near.select("entity", "ctx", F.explode("ts").alias("t")).distinct().groupBy("entity", "t").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_contexts)
-    pairs = settle(n_te.join(n_e, "entity"), "pairs")
+    n_te = near.select("entity", "ctx", F.explode("ts").alias("t")).distinct().groupBy("entity", "t").agg(F.count("*").alias("n_te"))
+    pairs = settle(n_te.join(small(n_e, 100), "entity"), "pairs")
     terms = settle(pairs.select("t").distinct(), "terms")
     if not terms.take(1):
         return pairs.select("entity", "t", F.lit(0.0).alias("disclosed"))
     words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("t"))
-    n_t = words.join(small(terms, 100), "t").groupBy("t").agg(F.count("*").alias("n_t"))
+    fits = terms.count() * 100 <= BROADCAST_BYTES
+    n_t = (words.join(F.broadcast(terms), "t") if fits else words).groupBy("t").agg(F.count("*").alias("n_t"))
     total = texts.count()
     ic = F.log2(F.lit(float(max(total, 2))) / F.col("n_e"))
-    share = 1 - F.log2(F.greatest(F.col("n_t"), F.col("n_te")) / F.col("n_te")) / ic
+    share = 1 - F.log2((F.greatest(F.col("n_t"), F.col("n_te")) + UNSEEN) / F.col("n_te")) / ic
     return settle(pairs.join(n_t, "t").where(ic > 0).select("entity", "t", share.alias("disclosed")).where(F.col("disclosed") >= disclosure), "revealing")
 
 

@@ -86,3 +86,14 @@ def test_terms_of_values_seen_once_or_twice(spark):
     assert {r.doc_id: r.n_term for r in find(docs).collect() if r.n_term} == {500: 1, 501: 1, 502: 1}
     texts = {r.doc_id: r.text for r in sanitise(docs).collect()}
     assert texts[500] == "plain words [TERM] [EMAIL] that stand" and texts[501] == "words [TERM] [EMAIL] that stand" and texts[0] == rows[0][1]
+
+
+def test_terms_are_marked_in_the_whole_text(spark):
+    from tidemark.llm.pii import find, sanitise
+
+    far = " plain words that stand in every text" * 9
+    rows = [(i, "plain words that stand in every text") for i in range(900)] + [(1500, f"Zorblatt{far} zorblatt ann@example.org{far} zorblatt@x.org, zorblatt"), (1501, "zorblatt in every text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_term for r in find(docs).collect() if r.n_term} == {1500: 3}
+    texts = {r.doc_id: r.text for r in sanitise(docs).collect()}
+    assert texts[1500] == f"[TERM]{far} [TERM] [EMAIL]{far} [EMAIL], [TERM]" and texts[1501] == rows[-1][1]

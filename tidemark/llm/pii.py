@@ -6,8 +6,9 @@ corpus, with n_te the distinct contexts of entity e that hold term t, n_e those
 documents, a term discloses the share PMI(t;e) / IC(e) of the entity's information, PMI = log2(n_te N / ((n_t + UNSEEN) n_e))
 and IC = log2(N / n_e). UNSEEN is the rule of three: a term not seen in N documents stands, at 95 % confidence, in
 at most 3 of N others. So few contexts lower the share but forbid nothing: of a value with one context, a word of its own is
-marked in corpora of 256 documents or more. Terms that disclose DISCLOSURE or more are marked (kind ``term``) in the contexts
-of that entity. Copies of a text share one context, so they are no evidence.
+marked in corpora of 256 documents or more. Terms that disclose DISCLOSURE or more are marked (kind ``term``) wherever
+they stand in a document that holds the entity, near it or not. Documents without the entity keep the term: there, nothing stands
+beside it that it could reveal. Copies of a text share one context, so they are no evidence.
 
 ``sanitise`` replaces base spans by their kind, generalises marked terms, and removes those that disclose REMOVE or more.
 
@@ -118,6 +119,18 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, in
     return out
 
 
+def occurrences(text: str, base: list[tuple[int, int, int]], terms: dict[str, float]) -> list[tuple[int, int, int, float]]:
+    """(start, kind number, end, share disclosed) of every occurrence of the terms outside the base spans."""
+    out, ends = [], sorted((s, e) for s, _, e in base)
+    at, reach = 0, 0  # the spans that start before the word's end, and the furthest of their ends
+    for m in WORD.finditer(text):
+        while at < len(ends) and ends[at][0] < m.end():
+            reach, at = max(reach, ends[at][1]), at + 1
+        if (t := m[0].lower()) in terms and reach <= m.start():
+            out.append((m.start(), 4, m.end(), terms[t]))
+    return out
+
+
 SPAN = pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())])
 CONTEXT = pa.struct([("entity", pa.string()), ("ctx", pa.int64()), ("terms", pa.list_(pa.struct([("t", pa.string()), ("s", pa.int32()), ("e", pa.int32())])))])
 DDL = "base array<struct<s:int,k:int,e:int>>, contexts array<struct<entity:string,ctx:bigint,terms:array<struct<t:string,s:int,e:int>>>>"
@@ -158,16 +171,28 @@ def revealing(scanned: DataFrame, texts: DataFrame, disclosure: float = DISCLOSU
 
 
 def _marked(scanned: DataFrame, terms: DataFrame) -> DataFrame:
-    """(rid, terms: marked spans with the share they disclose) of the rows that have any."""
-    near = scanned.select("rid", F.explode("contexts").alias("c")).select("rid", "c.entity", F.explode("c.terms").alias("w")).select("rid", "entity", "w.*")
-    hit = near.join(terms, ["entity", "t"]).groupBy("rid", "s", "e").agg(F.max("disclosed").alias("d"))
-    return hit.groupBy("rid").agg(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", "d")).alias("terms"))
+    """(rid, terms: marked spans with the share they disclose) of the rows that have any: every occurrence in the whole text."""
+    words = scanned.select("rid", F.explode(F.array_distinct(F.split(F.lower("held"), r"[^\p{L}]+"))).alias("t"))
+    entities = scanned.select("rid", F.explode(F.array_distinct("contexts.entity")).alias("entity"))
+    hit = words.join(small(terms, 150), "t").join(entities, ["rid", "entity"]).groupBy("rid", "t").agg(F.max("disclosed").alias("d"))
+    by_row = hit.groupBy("rid").agg(F.collect_list(F.struct("t", "d")).alias("terms"))
+    marks = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32()), ("d", pa.float64())]))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for text, base, ts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                found.append(occurrences(text, [(x["s"], x["k"], x["e"]) for x in base], {x["t"]: x["d"] for x in ts}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[dict(zip("sked", x, strict=True)) for x in f] for f in found], marks)], names=["rid", "terms"])
+
+    return scanned.select("rid", "held", "base").join(by_row, "rid").mapInArrow(run, "rid long, terms array<struct<s:int,k:int,e:int,d:double>>")
 
 
 def find(docs: DataFrame, **thresholds) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) of every row of docs (doc_id, text)."""
-    found = settle(scan(docs.select("doc_id", "text"), "text", ["doc_id"]).withColumn("rid", F.monotonically_increasing_id()), "pii")
-    marked = _marked(found, revealing(found, docs, **thresholds))
+    held = F.when(F.size("base") > 0, F.col("text")).alias("held")
+    found = settle(scan(docs.select("doc_id", "text"), "text", ["doc_id", "text"]).select("doc_id", held, "base", "contexts").withColumn("rid", F.monotonically_increasing_id()), "pii")
+    marked = _marked(found.where("held is not null"), revealing(found, docs, **thresholds))
     bare = F.coalesce(F.transform("terms", lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e"))), F.array().cast("array<struct<s:int,k:int,e:int>>"))
     label = F.array(*map(F.lit, KINDS))
     told = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.element_at(label, x.k + 1), x.s, x.e)))
@@ -190,7 +215,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" if c != "text" else "text" for k, c in enumerate(names)])
     found = settle(scan(plain, "text", plain.columns).withColumn("rid", F.monotonically_increasing_id()), "pii")
-    marked = _marked(found, revealing(found, docs.select("text"), **thresholds))
+    marked = _marked(found.where(F.size("base") > 0).withColumn("held", F.col("text")), revealing(found, docs.select("text"), **thresholds))
     spans = F.concat(F.transform("base", lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e"), F.lit(0.0).alias("d"))), F.coalesce("terms", F.array().cast("array<struct<s:int,k:int,e:int,d:double>>")))
     held = found.where(F.size("base") > 0).select("rid", "text", "base").join(marked, "rid", "left").select("rid", "text", spans.alias("spans"))
 

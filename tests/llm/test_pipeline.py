@@ -27,3 +27,9 @@ def test_each_stage_decides(spark, tmp_path):
     assert set(seen["ngram_join"]) - set(seen["decontamination"]) == {1003}
     assert "me@example.org" not in seen["pii"][1004].text and seen["pii"][1004].n_chars == len(seen["pii"][1004].text)
     assert set(seen["sentencepiece"]) == set(seen["pii"]) == set(seen["decontamination"])
+
+
+def test_copies_between_the_two_thresholds(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(110))
+    docs = spark.createDataFrame([(1, text), (2, text + "".join(f" x{i}" for i in range(22))), (3, text + "".join(f" y{i}" for i in range(40)))], "doc_id long, text string")  # Jaccard 0.83 and 0.73
+    assert sorted(r.doc_id for r in corpus_pipeline.without_copies(spark, docs, str(tmp_path)).collect()) == [1, 3]

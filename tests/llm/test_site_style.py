@@ -26,3 +26,10 @@ def test_importance_decides_inside_article_and_beside_it(spark):
     got = {r.page_id: r.text for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Text {i} of it" for i in range(9))
     assert all(got[20 + i] == f"Teaser {i}\n\nLong text {i}" for i in range(9))
+
+
+def test_hosts_of_two_pages(spark):
+    rows = [(i, f"http://a.x/{i}", f"<body><div class=top>Welcome here</div><div class=k><p>All</p><p>Our</p></div><div class=c><p>Text {i}</p></div></body>") for i in range(2)]
+    rows += [(5, "http://b.x/", "<body><ul class=u><li>Same</li><li>Same</li></ul><p>Alone</p></body>")]
+    got = {r.page_id: r.text for r in S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "Text 0", 1: "Text 1", 5: "Same\n\nSame\n\nAlone"}

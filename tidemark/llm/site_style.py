@@ -1,8 +1,9 @@
 """Main text of pages by site style trees.
 
 Each page is parsed once into blocks: text, path of its style node (tags and classes from the root) and parent. Pages of one host are
-merged into one tree, as counts of (host, path, content) and (host, parent, child sequence). From them, for nodes on LEAST pages or more:
-content importance = entropy of the node's contents over log(occurrences), presentation importance = the same for the child sequences of
+merged into one tree, as counts of (host, path, content) and (host, parent, child sequence), each once a page; a node's content on a page
+is all its texts there, in order. From them: content importance = entropy of the node's contents over log(pages that have it), 1 for a
+node of one page; presentation importance = the same for the child sequences of
 its parent; a node's importance weighs them GAMMA to 1 - GAMMA. Nodes under LOW are removed from every page of the host. Elements that are no main text by meaning (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, comments) are left out while parsing. Article and main elements are nodes like any other:
 blocks inside and outside them are counted, and importance decides on both. A page that would lose all its blocks keeps them.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import settle
 from .ngram_join import salted
 
-LEAST, LOW, GAMMA = 8, 0.2, 0.9
+LOW, GAMMA = 0.2, 0.9
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = set("head script style noscript template svg nav footer aside form button select option textarea iframe object dialog menu canvas audio video".split())
 BLOCK = set("html body main article section header div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption address hr details summary fieldset center".split())
@@ -105,43 +106,48 @@ def _short(s: str) -> int:
 
 
 def parse(html: str | None):
-    """(blocks: [(path, parent, text hash, text)], parents: [(path, child sequence)]) as hashes."""
+    """(blocks: [(path, text)], nodes: [(path, parent, content)], parents: [(path, child sequence)]) as hashes."""
     page = _Page()
     page.feed(html or "")
     page.close()
     page.flush()
-    blocks = [{"path": _short(p), "parent": _short(q), "h": _short(t), "text": t} for p, q, t in page.blocks]
-    return blocks, [{"path": _short(p), "h": _short("\n".join(c))} for p, c in page.children.items()]
+    texts: dict[tuple[str, str], list[str]] = {}
+    for p, q, t in page.blocks:
+        texts.setdefault((p, q), []).append(t)
+    blocks = [{"path": _short(p), "text": t} for p, _, t in page.blocks]
+    nodes = [{"path": _short(p), "parent": _short(q), "h": _short("\n".join(ts))} for (p, q), ts in texts.items()]
+    return blocks, nodes, [{"path": _short(p), "h": _short("\n".join(c))} for p, c in page.children.items()]
 
 
 def _importance(counts: DataFrame) -> DataFrame:
-    """(host, path, m, e) from (host, path, h, n): entropy of the contents over log m."""
+    """(host, path, m, e) from (host, path, h, n): entropy of the contents over log m, m the pages."""
     x = counts.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     return x.select("host", "path", "m", F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0).alias("e"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html)."""
-    node = "struct<path:long,parent:long,h:long,text:string>"
+    node = "struct<path:long,parent:long,h:long>"
 
     def run(batches):
         for b in batches:
             got = [parse(h) for h in b.column(1).to_pylist()]
-            blocks = pa.array([x for x, _ in got], pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("h", pa.int64()), ("text", pa.string())])))
-            parents = pa.array([y for _, y in got], pa.list_(pa.struct([("path", pa.int64()), ("h", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column(0), blocks, parents], names=["key", "blocks", "parents"])
+            blocks = pa.array([x for x, _, _ in got], pa.list_(pa.struct([("path", pa.int64()), ("text", pa.string())])))
+            nodes = pa.array([x for _, x, _ in got], pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("h", pa.int64())])))
+            parents = pa.array([x for _, _, x in got], pa.list_(pa.struct([("path", pa.int64()), ("h", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([b.column(0), blocks, nodes, parents], names=["key", "blocks", "nodes", "parents"])
 
     host = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     plain = pages.select(F.struct("page_id", "url", host.alias("host")).alias("key"), "html")
     key = plain.schema["key"].dataType.simpleString()
-    parsed = settle(plain.mapInArrow(run, f"key {key}, blocks array<{node}>, parents array<struct<path:long,h:long>>").select("key.*", "blocks", "parents").withColumn("rid", F.monotonically_increasing_id()), "pages")
-    each = parsed.select("host", F.explode("blocks").alias("x")).select("host", "x.path", "x.parent", "x.h")
+    parsed = settle(plain.mapInArrow(run, f"key {key}, blocks array<struct<path:long,text:string>>, nodes array<{node}>, parents array<struct<path:long,h:long>>").select("key.*", "blocks", "nodes", "parents").withColumn("rid", F.monotonically_increasing_id()), "pages")
+    each = parsed.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
     contents = _importance(each.groupBy("host", "path", "h").agg(F.count("*").alias("n")))
     parent = each.groupBy("host", "path").agg(F.min("parent").alias("parent"))
     shapes = _importance(parsed.select("host", F.explode("parents").alias("x")).select("host", "x.*").groupBy("host", "path", "h").agg(F.count("*").alias("n")))
     both = contents.join(parent, ["host", "path"]).join(shapes.select("host", F.col("path").alias("parent"), F.col("e").alias("pe")), ["host", "parent"], "left")
-    scored = both.select("host", "path", "m", (GAMMA * F.col("e") + (1 - GAMMA) * F.coalesce("pe", F.lit(1.0))).alias("importance"))
-    low = F.when((F.col("importance") < LOW) & (F.col("m") >= LEAST), F.col("path"))
+    scored = both.select("host", "path", (GAMMA * F.col("e") + (1 - GAMMA) * F.coalesce("pe", F.lit(1.0))).alias("importance"))
+    low = F.when(F.col("importance") < LOW, F.col("path"))
     bad = settle(scored.groupBy("host").agg(F.collect_set(low).alias("bad")).where(F.size("bad") > 0), "low-nodes")
     drop = salted(parsed.select("rid", "host"), bad, "host").select("rid", "bad")
     out = parsed.select("rid", "page_id", "url", "blocks").join(drop, "rid", "left")

@@ -21,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="tidemark-"))
         atexit.register(shutil.rmtree, _own_root[0], True)
@@ -41,6 +43,20 @@ def settle(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return out
 
 
+#: Spark's setting that deletes a query's shuffle files when the query has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle_once(df: DataFrame, name: str) -> DataFrame:
+    """settle, after which nothing reads df's shuffle files again: they are deleted at its end, not when the driver next collects garbage."""
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        return settle(df, name)
+    finally:
+        conf.set(CLEAN_UP, before) if before is not None else conf.unset(CLEAN_UP)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of settled tables that nothing reads any more."""
     for df in tables:
@@ -64,23 +80,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
     gathered in one task; a hub's edges can be split by the adaptive skew join. Nodes without a (non-loop) edge are
     left out: they are their own component. Null ends are dropped. No edges: no rows.
     """
-    now = settle(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct(),
-        f"{name}-edges",
-    )
+    now = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), f"{name}-edges")
     mark = _mark(now)
     while mark[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-low")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = settle(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}-large")
-        low2 = settle(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
-        joined = large.join(low2, "u")
-        after = settle(
-            joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
-            f"{name}-edges",
-        )
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        stars = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low2.select("u", F.col("m").alias("v")))
+        after = settle(stars.where("u <> v").distinct(), f"{name}-edges")
         new = _mark(after)
-        forget(now, low, large, low2)
+        forget(now, large)
         now, old, mark = after, mark, new
         if old == new:
             break

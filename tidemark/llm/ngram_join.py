@@ -1,227 +1,303 @@
 """N-gram Jaccard join by grouped prefixes.
 
-1. Every text becomes a set of 64-bit hashes of its distinct N-word shingles. Texts of equal sets form a class.
-2. Shingles are counted over the whole corpus into CELLS hashed cells, summed by ranges of cells. The at most HOT most frequent
+1. Every text becomes a set of 64-bit hashes of its distinct N-word shingles, stored once a task. Texts of equal sets form a class.
+2. Shingles are counted over all these sets into CELLS hashed cells, summed by ranges of cells. The at most HOT most frequent
    cells (a fixed bound, whatever the input) are broadcast and order the shingles: those in no hot cell first, by hash. Any such
    order gives right results; this one keeps common passages out of prefixes.
 3. A set's prefix is what must meet any partner's. Classes with the same prefix and size form a group, and only groups stand in
    the posting lists. Group pairs pass size and position filters, are expanded to pairs of classes, pass a parity bitmap filter
    (a strict lower bound of the symmetric difference) and are verified on whole sets.
-4. Large groups of near copies: two rounds compare each list's members with one leader of the list; after that only pairs whose
-   ends are still in different components are compared, all of them. So no link between components is lost, and no list is
-   expanded into all its pairs.
+4. Large groups of near copies: ROUNDS rounds compare each list's members with one leader of the list; after that only pairs whose
+   ends are still in different components are compared, all of them, by bands of size. So no link between components is lost,
+   and no list of linked texts is expanded into all its pairs.
 
 A pair of sets of n and m shingles is misjudged only if two of its shingles share a 64-bit hash, at odds of n * m / 2**64.
 
 Row semantics: each row is an own document, also with repeated or null doc_id; null or wordless text is an empty set, linked with
 nothing, and its component is its doc_id. A component whose ids are all null has a null id. An empty table gives no rows. Other
-columns are ignored. Texts are used whole.
+columns are ignored. Texts are used whole, a slice of a batch at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, settle, small
+from .common import components, forget, settle, settle_once, small
+from .words import ascii_words, hashed, mix, slices
 
 WORDS, PERCENT = 4, 85
 CELLS, RANGES, HOT = 1 << 28, 256, 1 << 20
 ROUNDS, PER_SALT, BITS = 2, 2000, 1024
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Sets a task remembers, so that it stores equal ones once.
+SEEN = 500_000
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w for w in _SPACE.split((text or "").translate(_LOWER)) if w]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def shingles(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
+def shingles(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes (uint64) of each text."""
-    for text in texts:
-        w = words_of(text)
-        if not w:
-            yield np.empty(0, np.uint64)
+    h, ends = hashed(ascii_words(texts))
+    starts = np.append(0, ends[:-1])
+    windows = []
+    for k in range(1, words + 1):  # texts of fewer words are one shingle of all of them
+        acc = np.full(max(len(h) - k + 1, 0), k, np.uint64)
+        if k < words and not (ends - starts == k).any():
+            windows.append(acc)
             continue
-        h = pd.util.hash_array(np.array(w, dtype=object), categorize=len(w) > 64)
-        k = min(words, len(w))
-        acc = np.full(len(w) - k + 1, k, np.uint64)
         for i in range(k):
-            acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : len(w) - k + 1 + i])
-        yield np.unique(acc)
+            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
+        windows.append(acc)
+    for a, z in zip(starts.tolist(), ends.tolist()):
+        k = min(words, z - a)
+        if not k:
+            yield np.empty(0, np.uint64)
+            continue
+        s = np.sort(windows[k - 1][a : z - k + 1])
+        yield s[np.append(True, s[1:] != s[:-1])]
+
+
+def _lists(arrays: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    """An Arrow array of lists; None is null."""
+    sizes = np.cumsum([0, *(0 if x is None else len(x) for x in arrays)])
+    flat = np.concatenate([x for x in arrays if x is not None] or [np.empty(0, np.int64)])
+    mask = pa.array([x is None for x in arrays], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, kind), mask=mask)
 
 
-def _cell_counts(docs: DataFrame, words: int) -> DataFrame:
-    """(cell, n) of all cells counted more than once, from whole texts."""
+def _sets(rows: DataFrame, words: int) -> DataFrame:
+    """(rid, doc_id, digest: of the text, n, cid, set) of every row (rid, doc_id, text); set is null if its task stored an equal one."""
+
+    def make(batches):
+        seen: set[bytes] = set()
+        for b in batches:
+            for begin, end in slices(b.column(3)):
+                part = b.slice(begin, end - begin)
+                n, cids, sets = [], [], []
+                for s in shingles(part.column(3), words):
+                    cid = hashlib.md5(s.tobytes()).digest() if len(s) else None
+                    n.append(len(s))
+                    cids.append(cid)
+                    sets.append(None if cid is None or cid in seen else s.view(np.int64))
+                    if cid is not None:
+                        seen.add(cid)
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(cids, pa.binary()), _lists(sets, pa.int64())], names=["rid", "doc_id", "digest", "n", "cid", "set"])
+
+    plain = rows.select("rid", F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    return settle(plain.mapInArrow(make, "rid long, doc_id long, digest string, n long, cid binary, set array<long>"), "sets")
+
+
+def _cell_counts(sets: DataFrame) -> DataFrame:
+    """(cell, n) of all cells counted more than once, over all stored sets."""
     width = CELLS // RANGES
 
     def count(batches):
         for b in batches:
-            sets = list(shingles(b["text"].tolist(), words))
-            cells, n = np.unique(np.concatenate(sets + [np.empty(0, np.uint64)]) % np.uint64(CELLS), return_counts=True)
-            cells = cells.astype(np.int64)
+            cells = np.sort((b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(CELLS)).astype(np.uint32))
             cut = np.searchsorted(cells, np.arange(RANGES + 1) * width)
-            rows = [(r, (cells[a:z] - r * width).astype(np.uint32).tobytes(), n[a:z].astype(np.uint32).tobytes()) for r, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
-            yield pd.DataFrame(rows, columns=["range", "cells", "n"])
+            rows = [(r, (cells[a:z] - np.uint32(r * width)).tobytes()) for r, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names=["range", "cells"])
 
     def total(batches):
-        at, sums = None, None
+        at, sums = None, np.zeros(width, np.int64)
         for b in batches:
-            for r, c, n in zip(b["range"], b["cells"], b["n"]):
+            for r, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if r != at:
                     if at is not None:
                         yield several(at, sums)
                     at, sums = r, np.zeros(width, np.int64)
-                sums[np.frombuffer(c, np.uint32)] += np.frombuffer(n, np.uint32)
+                cells = np.frombuffer(c, np.uint32)
+                first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+                sums[cells[first]] += np.diff(np.append(first, len(cells)))
         if at is not None:
             yield several(at, sums)
 
     def several(r, sums):
         cell = np.flatnonzero(sums > 1)
-        return pd.DataFrame({"cell": cell + r * width, "n": sums[cell]})
+        return pa.RecordBatch.from_arrays([pa.array(cell + r * width, pa.int64()), pa.array(sums[cell], pa.int64())], names=["cell", "n"])
 
-    parts = docs.select("text").mapInPandas(count, "range int, cells binary, n binary")
-    return parts.repartition("range").sortWithinPartitions("range").mapInPandas(total, "cell long, n long")
+    parts = sets.where("set is not null").select("set").mapInArrow(count, "range int, cells binary")
+    return parts.repartition("range").sortWithinPartitions("range").mapInArrow(total, "cell long, n long")
 
 
-def hot_cells(docs: DataFrame, words: int = WORDS, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+def hot_cells(sets: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent cells, sorted, with their counts: those above the least power of two that at most ``most`` exceed."""
-    counts = settle(_cell_counts(docs, words), "cells")
+    counts = settle_once(_cell_counts(sets), "cells")
     hist = sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).count().collect()), reverse=True)
     least, seen = 62, 0
     for p, c in hist:
         if seen + c > most:
             break
         least, seen = p, seen + c
-    hot = counts.where(F.col("n") >= (1 << least)).toPandas().sort_values("cell")
+    hot = counts.where(F.col("n") >= (1 << least)).toArrow()
     forget(counts)
-    return hot["cell"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)
+    cell, n = (hot.column(c).to_numpy() for c in ("cell", "n"))
+    order = np.argsort(cell)
+    return cell[order], n[order]
 
 
-def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(rid, doc_id, digest: of the text, n, cid, gid, prefix, bits, set) of every row."""
-    hot = docs.sparkSession.sparkContext.broadcast(hot_cells(docs, words))
+def _classes(sets: DataFrame, percent: int) -> DataFrame:
+    """(rid: of the class's first stored set, cid, n, gid, prefix, bits) of every distinct set."""
+    hot = sets.sparkSession.sparkContext.broadcast(hot_cells(sets))
 
     def make(batches):
         cells, freq = hot.value
         for b in batches:
-            rows = []
-            for rid, doc, digest, s in zip(b["rid"], b["doc_id"].tolist(), b["digest"].tolist(), shingles(b["text"].tolist(), words)):
-                n = len(s)
-                if not n:
-                    rows.append((rid, doc, digest, 0, None, None, None, None, None))
-                    continue
-                f = np.zeros(n, np.int64)
-                if len(cells):
-                    cell = (s % np.uint64(CELLS)).astype(np.int64)
-                    at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
-                    f = np.where(cells[at] == cell, freq[at], 0)
-                prefix = s[np.lexsort((s, f))][: n - -(-percent * n // 100) + 1].view(np.int64)
-                bits = np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
-                gid = hashlib.md5(n.to_bytes(8, "little") + prefix.tobytes()).hexdigest()
-                rows.append((rid, doc, digest, n, hashlib.md5(s.tobytes()).hexdigest(), gid, prefix, bits, s.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["rid", "doc_id", "digest", "n", "cid", "gid", "prefix", "bits", "set"])
-
-    # ids go through pandas as text: it would make long ids of a batch with nulls inexact
-    plain = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "rid long, doc_id string, digest string, n long, cid string, gid string, prefix array<long>, bits array<long>, set array<long>"
-    return settle(plain.mapInPandas(make, schema).withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
-
-
-def salted(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """many joined with one (a row for each key); keys with over PER_SALT rows are dealt over several partitions."""
-    hot = settle(many.groupBy(key).count().where(F.col("count") > PER_SALT).select(key, F.ceil(F.col("count") / PER_SALT).cast("int").alias("k")), "hot")
-    hot_side = small(hot, 80)
-    other = [c for c in many.columns if c != key]
+            lists = b.column(3)
+            flat, cut = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+            f = np.zeros(len(flat), np.int64)
+            if len(cells):
+                own = (flat % np.uint64(CELLS)).astype(np.int64)
+                at = np.minimum(np.searchsorted(cells, own), len(cells) - 1)
+                f = np.where(cells[at] == own, freq[at], 0)
+            gids, prefixes, bits = [], [], []
+            for a, z in zip((cut - cut[0]).tolist(), (cut[1:] - cut[0]).tolist()):
+                s, n = flat[a:z], z - a
+                p = n - -(-percent * n // 100) + 1
+                free = np.flatnonzero(f[a:z] == 0)  # s is in the order of the hashes
+                prefix = s[free[:p]] if len(free) >= p else s[np.argsort(f[a:z], kind="stable")[:p]]
+                prefixes.append(prefix.view(np.int64))
+                bits.append(np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).view(np.int64))
+                gids.append(hashlib.md5(n.to_bytes(8, "little") + prefix.tobytes()).digest())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(gids, pa.binary()), _lists(prefixes, pa.int64()), _lists(bits, pa.int64())], names=["rid", "cid", "n", "gid", "prefix", "bits"])
+
+    made = sets.where("set is not null").select("rid", "cid", "n", "set").mapInArrow(make, "rid long, cid binary, n long, gid binary, prefix array<long>, bits array<long>")
+    return settle_once(made.groupBy("cid").agg(F.min("rid").alias("rid"), *[F.min_by(c, "rid").alias(c) for c in ("n", "gid", "prefix", "bits")]), "classes")
+
+
+def hot_keys(many: DataFrame, key: str) -> DataFrame:
+    """(key, k) of the keys with over PER_SALT rows and the number of parts they are dealt to: at most one in PER_SALT rows."""
+    return small(settle(many.groupBy(key).count().where(F.col("count") > PER_SALT).select(key, F.ceil(F.col("count") / PER_SALT).cast("int").alias("k")), "hot"), 80)
+
+
+def salted(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """many joined with one (a row for each key); keys with over PER_SALT rows are dealt over several partitions.
+
+    ``hot``: hot_keys of many or of a table that held it; ``by``: the columns whose hash deals a key's rows (all others)."""
+    hot_side = hot_keys(many, key) if hot is None else hot
+    other = by or [c for c in many.columns if c != key]
     left = many.join(hot_side, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*other), F.col("k")), F.lit(0)).cast("int")).drop("k")
     right = one.join(hot_side, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
     return left.join(right, [key, "salt"]).drop("salt")
 
 
-def _fits(na, nb, percent):
+def _fits(na: Column, nb: Column, percent: int) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
 def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link."""
-    side = classes.select("cid", "n", "bits")
-    p = salted(salted(pairs.withColumnRenamed("a", "cid"), side.withColumnRenamed("n", "na").withColumnRenamed("bits", "x"), "cid").withColumnRenamed("cid", "a").withColumnRenamed("b", "cid"), side, "cid").withColumnRenamed("cid", "b")
-    apart = F.aggregate(F.zip_with("x", "bits", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
-    near = settle(p.where(_fits(F.col("na"), F.col("n"), percent) & (apart * (100 + percent) <= (F.col("na") + F.col("n")) * (100 - percent))).select("a", "b", "na", F.col("n").alias("nb")), "near")
-    need = near.select(F.col("a").alias("cid")).unionAll(near.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "rid"), "cid")
-    full = settle(sets.select("rid", "set").join(small(settle(need, "need"), 100), "rid").select("cid", "set"), "full")
-    both = salted(near.withColumnRenamed("a", "cid"), full.withColumnRenamed("set", "sa"), "cid").withColumnRenamed("cid", "a").withColumnRenamed("b", "cid")
-    both = salted(both, full, "cid").withColumnRenamed("cid", "b")
-    common = F.size(F.array_intersect("sa", "set"))
-    return settle(both.where(common * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "links")
+    """The pairs (a, b) of classes whose whole sets link; a is the side with the hot rows."""
+    side = classes.select("rid", "n", "bits")
+    hot = hot_keys(pairs, "a")
+    near = pairs.join(small(side.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), 180), "b")
+    near = salted(near, side.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a", hot, ["b"])
+    apart = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+    near = settle(near.where(_fits(F.col("na"), F.col("nb"), percent) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b", "na", "nb"), "near")
+    need = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    full = sets.where("set is not null").select("rid", "set").join(small(settle(need, "need"), 24), "rid")
+    both = near.join(full.select(F.col("rid").alias("b"), F.col("set").alias("sb")), "b")
+    both = salted(both, full.select(F.col("rid").alias("a"), F.col("set").alias("sa")), "a", hot, ["b"])
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = settle_once(both.where(common * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "links")
+    forget(near)
+    return links
+
+
+def _filtered(cand: DataFrame, percent: int) -> DataFrame:
+    """Candidates (u, n, pos; v, n2, pos2) that may link, by size and by what can still follow their places in the prefixes."""
+    bound = F.lit(1) + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
+    return cand.where(_fits(F.col("n"), F.col("n2"), percent) & (bound * (100 + percent) >= (F.col("n") + F.col("n2")) * percent))
+
+
+def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes, enough to connect every component."""
+    groups = classes.groupBy("gid").agg(F.min("rid").alias("unit"), F.max("rid").alias("last"), F.min_by("prefix", "rid").alias("prefix"), F.min_by("n", "rid").alias("n"))
+    groups = settle_once(groups, "groups")
+    members = classes.select("gid", "rid", "n").join(groups.where("last > unit").select("gid", "unit"), "gid")
+    tokens = groups.select("unit", "n", F.posexplode("prefix").alias("pos", "key"), F.lit(True).alias("group"))
+    inner = members.select(F.col("rid").alias("unit"), "n", F.lit(0).alias("pos"), F.xxhash64("gid").alias("key"), F.lit(False).alias("group"))
+    dealt = tokens.unionByName(inner).repartition("key")
+    lists = settle_once(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "key"), "lists")
+    found, tagged, comp = [], lists.withColumn("lo", F.col("unit")).withColumn("hi", F.col("unit")), None
+    for turn in range(ROUNDS + 1):
+        if turn:
+            linked = found[0] if len(found) == 1 else found[0].unionAll(found[1])
+            forget(comp) if comp is not None else None
+            comp = settle(components(linked, name="ngram").withColumnRenamed("node", "rid"), "comp")
+            whole = members.select("unit", "rid").join(comp, "rid", "left").select("unit", F.lit(True).alias("group"), F.coalesce("component", "rid").alias("c"))
+            single = comp.select(F.col("rid").alias("unit"), F.explode(F.array(F.lit(True), F.lit(False))).alias("group"), F.col("component").alias("c"))
+            single = single.join(members.select("unit", F.lit(True).alias("group")), ["unit", "group"], "left_anti")
+            of_unit = whole.unionByName(single).groupBy("unit", "group").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+            tagged = lists.join(small(of_unit, 48), ["unit", "group"], "left").withColumn("lo", F.coalesce("lo", "unit")).withColumn("hi", F.coalesce("hi", "unit"))
+            spread = tagged.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key")
+            tagged = settle(tagged.join(spread, "key", "left_semi"), "tagged")
+        if turn < ROUNDS:
+            lead = tagged.groupBy("key").agg(F.min(F.struct(F.xxhash64("unit", F.lit(turn)).alias("h"), "unit", "n", "pos", "lo", "hi")).alias("l"))
+            cand = salted(tagged, lead, "key").select("unit", "n", "pos", "lo", "hi", F.col("l.unit").alias("unit2"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"), F.col("l.lo").alias("lo2"), F.col("l.hi").alias("hi2"))
+            cand = _filtered(cand.where("unit <> unit2 and (lo <> lo2 or hi <> hi2 or lo <> hi)"), percent)
+            pairs = cand.select(F.col("unit2").alias("a"), F.col("unit").alias("b"))
+        else:
+            pairs = _rest(tagged, members, comp, percent)
+        pairs = settle_once(pairs.distinct(), "pairs")
+        found.append(verified(pairs, sets, classes, percent))
+        forget(pairs, *([tagged] if turn else []))
+    forget(groups, lists)
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+def _rest(tagged: DataFrame, members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes that share a list and stand in different components: each list's main component is not paired
+    with itself. Sizes that may link lie in the same or in neighbouring bands, which make up the join's key."""
+    of_group = tagged.where("group").join(members.select("unit", "rid"), "unit")
+    alone = tagged.join(members.select("unit", F.lit(True).alias("group")).distinct(), ["unit", "group"], "left_anti").withColumn("rid", F.col("unit"))
+    every = of_group.select("key", "rid", "n", "pos").unionByName(alone.select("key", "rid", "n", "pos"))
+    every = every.join(comp, "rid", "left").select("key", "rid", "n", "pos", F.coalesce("component", "rid").alias("comp"), F.floor(F.log("n") / math.log(100 / percent)).cast("int").alias("band"))
+    every = settle(every.distinct(), "rest")
+    main = every.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+    every = every.join(main, "key")
+    few = every.where("comp <> main").select("key", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), *[F.col(c).alias(c + "2") for c in ("rid", "n", "pos", "comp")])
+    cand = _filtered(every.join(few, ["key", "band"]).where("comp <> comp2 and (comp = main or rid < rid2)"), percent)
+    return cand.select(F.col("rid2").alias("a"), F.col("rid").alias("b"))
+
+
+def linked(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(rid, doc_id, digest, n, class_id, component: both null without shingles, component_id) of every row (rid, doc_id, text)."""
+    sets = _sets(rows, words)
+    classes = _classes(sets, percent)
+    comp = components(_links(sets, classes, percent), name="ngram")
+    named = classes.select("cid", "rid").join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("cid", "rid", F.coalesce("component", "rid").alias("component"))
+    filled = sets.where("n > 0").select("rid", "doc_id", "digest", "n", "cid")
+    least = settle(filled.groupBy("cid").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).join(named, "cid"), "least")
+    ids = least.groupBy("component").agg(F.min("low").alias("component_id"))
+    by_class = salted(least.select("component", "cid", F.col("rid").alias("class_id")), ids, "component")
+    hot = small(settle(least.where(F.col("rows") > PER_SALT).select("cid", F.ceil(F.col("rows") / PER_SALT).cast("int").alias("k")), "hot"), 80)
+    found = salted(filled, by_class, "cid", hot, ["rid"]).select("rid", "doc_id", "digest", "n", "class_id", "component", "component_id")
+    blank = sets.where("n = 0").select("rid", "doc_id", "digest", "n", F.lit(None).cast("long"), F.lit(None).cast("long"), "doc_id")
+    return found.unionAll(blank)
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, component, digest) of every row of docs (doc_id, text)."""
-    sets = _sets(docs, words, percent)
-    filled = sets.where("n > 0")
-    classes = settle(filled.groupBy("cid").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bits").alias("bits")), "classes")
-    groups = classes.groupBy("gid").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.count("*").alias("members"))
-    heads = filled.select("rid", "prefix").join(groups.withColumnRenamed("gid", "unit"), "rid")
-    tokens = heads.select("unit", "n", F.posexplode("prefix").alias("pos", "token")).select(F.col("token").cast("string").alias("key"), "unit", "n", "pos")
-    inner = classes.join(groups.where("members > 1").select("gid"), "gid").select(F.col("gid").alias("key"), F.col("cid").alias("unit"), "n", F.lit(0).alias("pos"))
-    every = settle(tokens.unionAll(inner), "postings")
-    shared = every.groupBy("key").count().where("count > 1").select("key")
-    lists = settle(every.join(shared, "key"), "lists")
-    units = settle(classes.select(F.col("gid").alias("unit"), "cid").unionAll(classes.select(F.col("cid").alias("unit"), "cid")), "units")
-    links = docs.sparkSession.createDataFrame([], "a string, b string")
-    comp = classes.select("cid", F.col("cid").alias("comp"))
-    for turn in range(ROUNDS + 1):
-        of_unit = units.join(comp, "cid").groupBy("unit").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        tagged = lists.join(of_unit, "unit").select("key", "unit", "n", "pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("unit")).alias("comp"))
-        tagged = settle(tagged, "tagged")
-        mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        if turn < ROUNDS:
-            lead = tagged.groupBy("key").agg(F.min(F.struct(F.xxhash64("unit", F.lit(turn)).alias("h"), "unit", "n", "pos", "comp")).alias("l")).join(mixed, "key")
-            cand = salted(tagged, lead, "key").select("unit", "n", "pos", "comp", F.col("l.unit").alias("unit2"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"), F.col("l.comp").alias("comp2"))
-        else:
-            sizes = tagged.join(mixed, "key").groupBy("key", "comp").count()
-            main = sizes.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-            outer = settle(salted(tagged, main, "key"), "outer")
-            few = outer.where(F.col("comp") != F.col("main")).select("key", *[F.col(c).alias(c + "2") for c in ("unit", "n", "pos", "comp")])
-            cand = outer.drop("main").join(few, "key")
-        bound = F.lit(1) + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
-        cand = cand.where((F.col("comp") != F.col("comp2")) & _fits(F.col("n"), F.col("n2"), percent) & (bound * (100 + percent) >= (F.col("n") + F.col("n2")) * percent))
-        cand = settle(cand.select(F.least("unit", "unit2").alias("u"), F.greatest("unit", "unit2").alias("v")).distinct(), "group-pairs")
-        with_comp = units.join(comp, "cid")
-        one = cand.join(with_comp.select(F.col("unit").alias("u"), F.col("cid").alias("a"), F.col("comp").alias("ca")), "u")
-        pairs = one.join(with_comp.select(F.col("unit").alias("v"), F.col("cid").alias("b"), F.col("comp").alias("cb")), "v").where("ca <> cb")
-        pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        links = links.unionAll(verified(pairs, sets, classes, percent))
-        comp = classes.select("cid").join(components(links, name="ngram").select(F.col("node").alias("cid"), "component"), "cid", "left")
-        comp = settle(comp.select("cid", F.coalesce("component", "cid").alias("comp")), "comp")
-    rows = sets.select("doc_id", "n", "cid", "digest")
-    least = filled.groupBy("cid").agg(F.min("doc_id").alias("low")).join(comp, "cid")
-    ids = least.groupBy("comp").agg(F.min("low").alias("component_id"))
-    by_class = salted(least.select("comp", "cid"), ids, "comp").select("cid", "component_id", "comp")
-    found = salted(rows.where("cid is not null"), by_class, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cid").alias("class_id"), F.col("comp").alias("component"), "digest")
-    return found.unionAll(rows.where("cid is null").select("doc_id", "n", "doc_id", "cid", "cid", "digest"))
+    found = linked(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), words, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "component", "digest")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without all but one row of each component: the smallest doc_id's (of equal ids, the smallest digest of the text).
-    Rows without shingles all stay."""
-    found = join(docs, words, percent).where("component is not null")
-    head = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("h"))
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_digest")]
-    chosen = head.select(F.coalesce(F.col("h.doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("h.digest").alias("_digest"))
-    blank = F.coalesce("text", F.lit("")).rlike(r"\A[\x20\x09-\x0D]*\z")
-    kept = docs.where(~blank).select("*", *key).join(chosen, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"])
-    return kept.select(*docs.columns).unionAll(docs.where(blank))
+    """docs without all but one row of each component: the smallest doc_id's (of equal ids, the smallest digest of the text,
+    then the first row). Null ids come last. Rows without shingles all stay; other columns stay as they are, whatever their names."""
+    names = docs.columns
+    held = docs.toDF(*[f"c{k}" for k in range(len(names))]).withColumn("rid", F.monotonically_increasing_id())
+    held = settle(held, "rows")
+    at = {c: f"c{k}" for k, c in enumerate(names)}
+    found = settle(linked(held.select("rid", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")), words, percent).where("component is not null"), "found")
+    head = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "rid")).alias("h"), F.count("*").alias("rows"))
+    several = settle(head.where("rows > 1").select("component", F.col("h.rid").alias("head"), "rows"), "heads")
+    hot = small(settle(several.where(F.col("rows") > PER_SALT).select("component", F.ceil(F.col("rows") / PER_SALT).cast("int").alias("k")), "hot"), 80)
+    gone = settle(salted(found.select("rid", "component"), several.drop("rows"), "component", hot).where("rid <> head").select("rid"), "gone")
+    return held.join(small(gone, 24), "rid", "left_anti").drop("rid").toDF(*names)

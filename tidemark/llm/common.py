@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,25 +73,62 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def contract(edges: DataFrame, a: str = "a", b: str = "b", most: int = 400_000) -> DataFrame:
+    """(u, v): for every node but the smallest of what one task has joined, that smallest node. Fewer edges with the same
+    components; a task remembers at most ``most`` nodes, then puts out what it has and starts anew."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def root(x):
+            r = x
+            while (n := up.get(r, r)) != r:
+                r = n
+            while x != r:
+                up[x], x = r, up[x]
+            return r
+
+        def flush():
+            pairs = [(x, r) for x in up if (r := root(x)) != x]
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(x), root(y)
+                up[x] = up[y] = min(x, y)
+            if len(up) > most:
+                yield flush()
+        yield flush()
+
+    some = edges.select(F.col(a).cast("long"), F.col(b).cast("long")).where(f"{a} is not null and {b} is not null and {a} <> {b}")
+    return some.mapInArrow(run, "u long, v long")
+
+
+def labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label): nodes of one label are connected; not all connected nodes have one label. One pass, no loop."""
+    return contract(edges, a, b).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
-    """Connected components of undirected edges, as (node, component = smallest node reachable).
+    """Connected components of undirected edges of whole numbers, as (node, component = smallest node reachable).
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014), each written to the shared folder, until
-    the edge set no longer changes. Every step is a grouped minimum and an equi-join, so no component is ever
-    gathered in one task; a hub's edges can be split by the adaptive skew join. Nodes without a (non-loop) edge are
-    left out: they are their own component. Null ends are dropped. No edges: no rows.
+    Every task first joins its own edges (contract), then alternating large-star and small-star steps (Kiveris et al., 2014), each
+    written to the shared folder, until the edge set no longer changes. Every step is a grouped minimum and an equi-join, so no
+    component is ever gathered in one task; a hub's edges can be split by the adaptive skew join. Nodes without a (non-loop) edge
+    are left out: they are their own component. Null ends are dropped. No edges: no rows.
     """
-    now = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), f"{name}-edges")
+    now = settle(contract(edges, a, b).distinct(), f"{name}-edges")
     mark = _mark(now)
     while mark[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = settle(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}-large")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         stars = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low2.select("u", F.col("m").alias("v")))
         after = settle(stars.where("u <> v").distinct(), f"{name}-edges")
         new = _mark(after)
-        forget(now, large)
+        forget(now)
         now, old, mark = after, mark, new
         if old == new:
             break

@@ -23,13 +23,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, settle, settle_once, small
+from .common import BROADCAST_BYTES, components, forget, labels, settle, settle_once, small
 from .words import ascii_words, hashed, mix, slices
 
 WORDS, PERCENT = 4, 85
@@ -171,19 +172,20 @@ def _classes(sets: DataFrame, percent: int) -> DataFrame:
     return settle_once(made.groupBy("cid").agg(F.min("rid").alias("rid"), *[F.min_by(c, "rid").alias(c) for c in ("n", "gid", "prefix", "bits")]), "classes")
 
 
-def hot_keys(many: DataFrame, key: str) -> DataFrame:
-    """(key, k) of the keys with over PER_SALT rows and the number of parts they are dealt to: at most one in PER_SALT rows."""
+def hot_keys(many: DataFrame, key: str, rows: int | None = None) -> DataFrame | None:
+    """(key, k) of the keys with over PER_SALT rows and the number of parts they are dealt to, at most one key in PER_SALT rows; None
+    if many is known to have no more rows than that."""
+    if rows is not None and rows <= PER_SALT:
+        return None
     return small(settle(many.groupBy(key).count().where(F.col("count") > PER_SALT).select(key, F.ceil(F.col("count") / PER_SALT).cast("int").alias("k")), "hot"), 80)
 
 
-def salted(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
-    """many joined with one (a row for each key); keys with over PER_SALT rows are dealt over several partitions.
-
-    ``hot``: hot_keys of many or of a table that held it; ``by``: the columns whose hash deals a key's rows (all others)."""
-    hot_side = hot_keys(many, key) if hot is None else hot
-    other = by or [c for c in many.columns if c != key]
-    left = many.join(hot_side, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*other), F.col("k")), F.lit(0)).cast("int")).drop("k")
-    right = one.join(hot_side, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+def salted(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, by: list[str]) -> DataFrame:
+    """many joined with one (a row for each key); the keys in ``hot`` are dealt over several partitions by the hash of ``by``."""
+    if hot is None:
+        return many.join(one, key)
+    left = many.join(hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("k")), F.lit(0)).cast("int")).drop("k")
+    right = one.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
     return left.join(right, [key, "salt"]).drop("salt")
 
 
@@ -191,18 +193,22 @@ def _fits(na: Column, nb: Column, percent: int) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
-def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link; a is the side with the hot rows."""
-    side = classes.select("rid", "n", "bits")
-    hot = hot_keys(pairs, "a")
-    near = pairs.join(small(side.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), 180), "b")
-    near = salted(near, side.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a", hot, ["b"])
+def verified(pairs: DataFrame, sets: DataFrame, side: DataFrame, few: bool, percent: int) -> DataFrame | None:
+    """The pairs (a, b) of classes whose whole sets link; a is the side with the hot rows. side: (rid, n, bits) of the classes, few:
+    whether its size lets it be broadcast. None if there are no pairs."""
+    rows = pairs.count()
+    if not rows:
+        return None
+    y, x = (side.select(F.col("rid").alias(k), F.col("n").alias("n" + k), F.col("bits").alias(v)) for k, v in (("b", "y"), ("a", "x")))
+    near = pairs.join(F.broadcast(y), "b").join(F.broadcast(x), "a") if few else salted(pairs.join(y, "b"), x, "a", hot_keys(pairs, "a", rows), ["b"])
     apart = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
     near = settle(near.where(_fits(F.col("na"), F.col("nb"), percent) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b", "na", "nb"), "near")
+    rows = near.count()
     need = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    full = sets.where("set is not null").select("rid", "set").join(small(settle(need, "need"), 24), "rid")
+    need = F.broadcast(need) if rows * 48 <= BROADCAST_BYTES else need
+    full = sets.where("set is not null").select("rid", "set").join(need, "rid")
     both = near.join(full.select(F.col("rid").alias("b"), F.col("set").alias("sb")), "b")
-    both = salted(both, full.select(F.col("rid").alias("a"), F.col("set").alias("sa")), "a", hot, ["b"])
+    both = salted(both, full.select(F.col("rid").alias("a"), F.col("set").alias("sa")), "a", hot_keys(near, "a", rows), ["b"])
     common = F.size(F.array_intersect("sa", "sb"))
     links = settle_once(both.where(common * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "links")
     forget(near)
@@ -223,32 +229,42 @@ def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     tokens = groups.select("unit", "n", F.posexplode("prefix").alias("pos", "key"), F.lit(True).alias("group"))
     inner = members.select(F.col("rid").alias("unit"), "n", F.lit(0).alias("pos"), F.xxhash64("gid").alias("key"), F.lit(False).alias("group"))
     dealt = tokens.unionByName(inner).repartition("key")
-    lists = settle_once(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "key"), "lists")
+    lists = settle_once(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "key"), "lists")
+    side = classes.select("rid", "n", "bits")
+    few = classes.count() * (BITS // 8 + 50) <= BROADCAST_BYTES
     found, tagged, comp = [], lists.withColumn("lo", F.col("unit")).withColumn("hi", F.col("unit")), None
     for turn in range(ROUNDS + 1):
         if turn:
-            linked = found[0] if len(found) == 1 else found[0].unionAll(found[1])
-            forget(comp) if comp is not None else None
-            comp = settle(components(linked, name="ngram").withColumnRenamed("node", "rid"), "comp")
-            whole = members.select("unit", "rid").join(comp, "rid", "left").select("unit", F.lit(True).alias("group"), F.coalesce("component", "rid").alias("c"))
-            single = comp.select(F.col("rid").alias("unit"), F.explode(F.array(F.lit(True), F.lit(False))).alias("group"), F.col("component").alias("c"))
-            single = single.join(members.select("unit", F.lit(True).alias("group")), ["unit", "group"], "left_anti")
-            of_unit = whole.unionByName(single).groupBy("unit", "group").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-            tagged = lists.join(small(of_unit, 48), ["unit", "group"], "left").withColumn("lo", F.coalesce("lo", "unit")).withColumn("hi", F.coalesce("hi", "unit"))
+            linked = _all(found, sets)
+            comp = settle(labels(linked).select(F.col("node").alias("rid"), F.col("label").alias("component")), "comp")
+            near = small(comp, 24)
+            whole = members.select("unit", "rid").join(near, "rid", "left").select("unit", F.coalesce("component", "rid").alias("c")).groupBy("unit").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+            whole = small(settle(whole.withColumn("group", F.lit(True)), "whole"), 48)
+            single = near.select(F.col("rid").alias("unit"), F.col("component").alias("c"))
+            tagged = lists.join(whole, ["unit", "group"], "left").join(single, "unit", "left")
+            tagged = tagged.select("key", "unit", "n", "pos", "group", "held", F.coalesce("lo", "c", "unit").alias("lo"), F.coalesce("hi", "c", "unit").alias("hi"))
             spread = tagged.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key")
-            tagged = settle(tagged.join(spread, "key", "left_semi"), "tagged")
+            tagged = settle_once(tagged.join(spread, "key", "left_semi"), "tagged")
         if turn < ROUNDS:
-            lead = tagged.groupBy("key").agg(F.min(F.struct(F.xxhash64("unit", F.lit(turn)).alias("h"), "unit", "n", "pos", "lo", "hi")).alias("l"))
-            cand = salted(tagged, lead, "key").select("unit", "n", "pos", "lo", "hi", F.col("l.unit").alias("unit2"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"), F.col("l.lo").alias("lo2"), F.col("l.hi").alias("hi2"))
+            salts = F.ceil(F.col("held") / PER_SALT).cast("int")
+            lead = tagged.groupBy("key", "held").agg(F.min(F.struct(F.xxhash64("unit", F.lit(turn)).alias("h"), "unit", "n", "pos", "lo", "hi")).alias("l"))
+            lead = lead.select("key", "l", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+            cand = tagged.withColumn("salt", F.pmod(F.xxhash64("unit"), salts).cast("int")).join(lead, ["key", "salt"])
+            cand = cand.select("unit", "n", "pos", "lo", "hi", F.col("l.unit").alias("unit2"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"), F.col("l.lo").alias("lo2"), F.col("l.hi").alias("hi2"))
             cand = _filtered(cand.where("unit <> unit2 and (lo <> lo2 or hi <> hi2 or lo <> hi)"), percent)
             pairs = cand.select(F.col("unit2").alias("a"), F.col("unit").alias("b"))
         else:
             pairs = _rest(tagged, members, comp, percent)
         pairs = settle_once(pairs.distinct(), "pairs")
-        found.append(verified(pairs, sets, classes, percent))
+        links = verified(pairs, sets, side, few, percent)
+        found += [links] if links is not None else []
         forget(pairs, *([tagged] if turn else []))
     forget(groups, lists)
-    return found[0].unionAll(found[1]).unionAll(found[2])
+    return _all(found, sets)
+
+
+def _all(found: list[DataFrame], sets: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionAll, found) if found else sets.sparkSession.createDataFrame([], "a long, b long")
 
 
 def _rest(tagged: DataFrame, members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
@@ -275,7 +291,8 @@ def linked(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     filled = sets.where("n > 0").select("rid", "doc_id", "digest", "n", "cid")
     least = settle(filled.groupBy("cid").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).join(named, "cid"), "least")
     ids = least.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_class = salted(least.select("component", "cid", F.col("rid").alias("class_id")), ids, "component")
+    by_class = least.select("component", "cid", F.col("rid").alias("class_id"))
+    by_class = salted(by_class, ids, "component", hot_keys(by_class, "component", least.count()), ["cid"])
     hot = small(settle(least.where(F.col("rows") > PER_SALT).select("cid", F.ceil(F.col("rows") / PER_SALT).cast("int").alias("k")), "hot"), 80)
     found = salted(filled, by_class, "cid", hot, ["rid"]).select("rid", "doc_id", "digest", "n", "class_id", "component", "component_id")
     blank = sets.where("n = 0").select("rid", "doc_id", "digest", "n", F.lit(None).cast("long"), F.lit(None).cast("long"), "doc_id")
@@ -299,5 +316,5 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     head = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "rid")).alias("h"), F.count("*").alias("rows"))
     several = settle(head.where("rows > 1").select("component", F.col("h.rid").alias("head"), "rows"), "heads")
     hot = small(settle(several.where(F.col("rows") > PER_SALT).select("component", F.ceil(F.col("rows") / PER_SALT).cast("int").alias("k")), "hot"), 80)
-    gone = settle(salted(found.select("rid", "component"), several.drop("rows"), "component", hot).where("rid <> head").select("rid"), "gone")
+    gone = settle(salted(found.select("rid", "component"), several.drop("rows"), "component", hot, ["rid"]).where("rid <> head").select("rid"), "gone")
     return held.join(small(gone, 24), "rid", "left_anti").drop("rid").toDF(*names)

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -6,8 +7,11 @@ import pytest
 from tidemark.llm import lm_scoring as L
 
 
-def test_as_brute_force(spark):
-    rows = [(1, "a b c a b"), (2, "B c d"), (3, None), (4, "..."), (5, "a b c a b"), (None, "é a"), (6, "d d d d")]
+@pytest.mark.parametrize("slice_size", [L.SLICE, 40])
+def test_as_brute_force(spark, monkeypatch, slice_size):
+    monkeypatch.setattr(L, "SLICE", slice_size)
+    rng = random.Random(2)
+    rows = [(1, "a b c a b"), (2, "B c d"), (3, None), (4, "..."), (5, "a b c a b"), (None, "é a"), (6, "d d d d"), (8, " ".join(rng.choice("abcdefgh") for _ in range(50_000)))]
     good = {1, 2}
     split = {d: [w for w in (t or "").lower().replace("...", "").split()] for d, t in rows}
     models = []
@@ -36,3 +40,9 @@ def test_as_brute_force(spark):
 
 def test_empty(spark):
     assert L.score(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def test_repeated_doc_id(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (2, "a c")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, round(r.score, 9)) for r in L.score(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect())
+    assert [g[:2] for g in got] == [(1, 1), (1, 2), (1, 2), (2, 2)] and got[1] == got[2]

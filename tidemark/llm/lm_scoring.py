@@ -5,81 +5,186 @@ vocabulary (all words of the corpus), smoothed alike: p(w | v) = (c(v, w) + MU *
 A document's score is the mean over its words of log p_target - log p_background: above 0, it is more like the target. All counts
 come from all rows and stay distributed. Words are told apart by 64-bit hashes.
 
-A bigram's loss is a part that depends on w less one that depends on v. For a bigram seen once both follow from the counts of words
-and the row's own label, so every word first gets that loss from the table of words. Only bigrams seen more often are written as a
-table, with what their loss differs by, and joined with the words' bigrams. The sums are those of the plain formula.
+Texts are read once, a slice at a time. A slice asks for the counts of its distinct words and bigrams, with its own counts of
+them, in one sorted array for each range of hashes; so a word of every text is sent once a slice, not once an occurrence. The
+ranges' tasks add up what the slices sent and answer each of them in its order; there are as many ranges as the input's size asks
+for. Slice and answers meet again by the slice's number. Arrays travel as differences of sorted numbers in planes of bytes.
 
 Row semantics: each row is scored by itself; null or wordless text has no words and score 0; a null doc_id is never labelled, labels
 of a repeated doc_id hold for all its rows; a doc_id labelled both ways is of the target. Without target rows its model is uniform.
+Scores have no ties to break; texts of any length are used whole (one over a slice's size is a slice of its own).
 Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, settle, small
+from .common import forget, settle, settle_once, small
+from .words import hashed, letter_words, mix, slices
 
 MU = 4.0
-BREAKS = r"[^\p{L}\p{N}]+"
-
-
+#: Bytes of text in a slice, in a range of hashes and in a partition of slices.
+SLICE, RANGE, PART = 8 << 20, 16 << 20, 32 << 20
 #: Stands before the first word; no word is written like this.
-START = "^"
-
+START = pd.util.hash_array(np.array(["^"], object), categorize=False)[0]
 
-def _hashes(docs: DataFrame) -> DataFrame:
-    """(rid, target, h): the hashes of START and all words in order."""
-    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), BREAKS), "")
-    return docs.select("rid", "target", F.transform(F.concat(F.array(F.lit(START)), words), lambda x: F.xxhash64(x)).alias("h"))
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: the high bytes of small numbers come together as runs of zeros."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
 
-#: Spark's setting that deletes a query's shuffle files when the query has ended.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+def numbers(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def _once(df: DataFrame, name: str) -> DataFrame:
-    """settle, after which nothing reads df's shuffle files again: they are deleted at its end, not when the driver next collects garbage."""
-    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEAN_UP, None)
-    conf.set(CLEAN_UP, "true")
-    try:
-        return settle(df, name)
-    finally:
-        conf.set(CLEAN_UP, before) if before is not None else conf.unset(CLEAN_UP)
+
+def pack(x: np.ndarray) -> bytes:
+    """The planes of the differences of unsigned numbers."""
+    return planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack(raw: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(numbers(raw, kind), dtype=kind)
+
+
+def pairs_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(v) * np.uint64(0x9E3779B97F4A7C15) + w)
+
+
+ASK = "slice long, range int, wh binary, wc binary, bh binary, bc binary, n binary, own binary, pairs binary, codes binary"
+ASK_NAMES = [x.split()[0] for x in ASK.split(", ")]
+
+
+def _ask(ranges: int):
+    """Of batches (rid, doc_id, target, text): the slices' own rows (range -1) and what each asks of the ranges."""
+
+    def cut(h):
+        return np.searchsorted((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+
+    def run(batches):
+        for b in batches:
+            for begin, end in slices(b.column(3), SLICE):
+                part = b.slice(begin, end - begin)
+                h, ends = hashed(letter_words(part.column(3)))
+                n = np.diff(ends, prepend=0)
+                own, w = np.unique(np.append(h, START), return_inverse=True)
+                start, w = w[-1], w[:-1]
+                v = np.append(start, w[:-1])[: len(w)]
+                v[(ends - n)[n > 0]] = start
+                good = np.repeat(part.column(2).to_numpy(), n) == 1
+                pairs, code = np.unique(w * np.int64(len(own)) + v, return_inverse=True)
+                count = lambda x, size: np.stack([np.bincount(x[good], minlength=size), np.bincount(x, minlength=size)]).astype(np.uint32)
+                wc = np.concatenate([count(w, len(own)), count(v, len(own))])
+                bc, bh = count(code, len(pairs)), pairs_hash(own[pairs % len(own)], own[pairs // len(own)])
+                order = np.argsort(bh)
+                bh, bc = bh[order], bc[:, order]
+                codes = np.sort(np.repeat(np.arange(len(n)), n) * np.int64(max(len(pairs), 1)) + code) % max(len(pairs), 1)
+                key, rows = part.column(0)[0].as_py(), []
+                wat, bat = cut(own), cut(bh)
+                for r in range(ranges):
+                    (a, z), (c, d) = wat[r : r + 2], bat[r : r + 2]
+                    if z > a or d > c:
+                        rows.append((r, pack(own[a:z]), planes(wc[:, a:z]), pack(bh[c:d]), planes(bc[:, c:d]), None, None, None, None))
+                rows.append((-1, None, None, None, None, n.astype(np.uint32).tobytes(), pack(own), pack(pairs.astype(np.uint64)), pack(codes.astype(np.uint32))))
+                cols = list(zip(*rows))
+                ids = pa.ListArray.from_arrays(pa.array([0] * len(rows) + [len(part)], pa.int32()), part.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], ids], names=[*ASK_NAMES, "ids"])
+
+    return run
+
+
+def _counts(raw: bytes, rows: int) -> np.ndarray:
+    return numbers(raw, np.uint32).reshape(rows, -1).astype(np.int64)
+
+
+def _answer(batches):
+    """Of one range's requests, in a row: each slice's words and bigrams with their counts over all slices."""
+    at, held = None, []
+
+    def sums(hashes, counts):
+        names, where = np.unique(np.concatenate(hashes), return_inverse=True)
+        each = np.concatenate(counts, axis=1)
+        total = np.stack([np.bincount(where, weights=c, minlength=len(names)) for c in each]).astype(np.int64)
+        return total, np.split(where, np.cumsum([len(h) for h in hashes])[:-1])
+
+    def close():
+        words, w_at = sums([unpack(x[1], np.uint64) for x in held], [_counts(x[2], 4) for x in held])
+        pairs, b_at = sums([unpack(x[3], np.uint64) for x in held], [_counts(x[4], 2) for x in held])
+        stats = [int((words[1] > 0).sum()), int(words[0].sum()), int(words[1].sum())]
+        for k, (x, i, j) in enumerate(zip(held, w_at, b_at)):
+            cols = [[x[0]], [at], [planes(words[:, i])], [planes(pairs[:, j])], *[[s if k == 0 else 0] for s in stats]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["slice", "range", "wa", "ba", "v", "nt", "nb"])
+
+    for b in batches:
+        for s, r, *rest in zip(*(c.to_pylist() for c in b.columns)):
+            if r != at and held:
+                yield from close()
+                held.clear()
+            at = r
+            held.append((s, *rest))
+    if held:
+        yield from close()
+
+
+def _final(v: int, nt: int, nb: int, mu: float):
+    """Of each slice's row and answers, in a row: (doc_id, n_words, score)."""
+
+    def score(own, words, pairs_):
+        n, ids, names = np.frombuffer(own["n"], np.uint32).astype(np.int64), own["ids"], unpack(own["own"], np.uint64)
+        pairs, codes = unpack(own["pairs"], np.uint64).astype(np.int64), unpack(own["codes"], np.uint32)
+        wa = np.concatenate([numbers(x, np.int64).reshape(4, -1) for x in words], axis=1)
+        ba = np.concatenate([numbers(x, np.int64).reshape(2, -1) for x in pairs_], axis=1)
+        a, w = pairs % len(names), pairs // len(names)
+        back = np.empty(len(pairs), np.int64)
+        back[np.argsort(pairs_hash(names[a], names[w]))] = np.arange(len(pairs))
+        ba = ba[:, back]
+        p = lambda k, total: np.log(ba[k] + mu * (wa[k, w] + 1.0) / (total + v or 1)) - np.log(wa[2 + k, a] + mu)
+        sums = np.append(0.0, np.cumsum((p(0, nt) - p(1, nb))[codes]))
+        ends = np.cumsum(n)
+        each = np.where(n > 0, (sums[ends] - sums[ends - n]) / np.maximum(n, 1), 0.0)
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(each, pa.float64())], names=["doc_id", "n_words", "score"])
+
+    def run(batches):
+        own, words, pairs, at = None, [], [], None
+        for b in batches:
+            col = {name: b.column(k) for k, name in enumerate(b.schema.names)}
+            for k, (s, r) in enumerate(zip(col["slice"].to_pylist(), col["range"].to_pylist())):
+                if s != at and own is not None:
+                    yield score(own, words, pairs)
+                if s != at:
+                    own, words, pairs, at = None, [], [], s
+                if r < 0:
+                    own = {c: col[c][k].as_py() for c in ("n", "own", "pairs", "codes")} | {"ids": col["ids"][k].values}
+                else:
+                    words.append(col["wa"][k].as_py())
+                    pairs.append(col["ba"][k].as_py())
+        if own is not None:
+            yield score(own, words, pairs)
+
+    return run
 
 
 def score(docs: DataFrame, labels: DataFrame, mu: float = MU) -> DataFrame:
     """(doc_id, n_words, score) of every row of docs (doc_id, text), with labels (doc_id, quality)."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(1))
-    rows = _once(docs.select("doc_id", "text").join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target")).withColumn("rid", F.monotonically_increasing_id()), "lm-rows")
-    h = _hashes(rows)
-
-    # Each item as a word (all but START) and as the context of the next one (all but the last).
-    items = h.select("rid", "target", F.size("h").alias("n"), F.posexplode("h").alias("i", "w"))
-    items = items.select("rid", "target", "w", (F.col("i") > 0).cast("int").alias("word"), (F.col("i") < F.col("n") - 1).cast("int").alias("ctx"))
-    both = lambda c: (F.sum(F.col(c) * F.col("target")), F.sum(c))
-    counts = [x.alias(n) for n, x in zip(("wt", "wb", "vt", "vb"), (*both("word"), *both("ctx")))]
-    ones = _once(items.groupBy("w").agg(*counts), "lm-words")
-    size = ones.where("wb > 0").agg(F.count("*"), F.coalesce(F.sum("wt"), F.lit(0)), F.coalesce(F.sum("wb"), F.lit(0))).first()
-    p = lambda c, n: (F.col(c) + 1.0) / float(n + size[0] or 1)
-    a = lambda t, b: F.log(t + mu * p("wt", size[1])) - F.log(b + mu * p("wb", size[2]))
-    c = F.log(F.col("vt") + mu) - F.log(F.col("vb") + mu)
-    table = ones.select("w", a(F.lit(0), F.lit(1)).alias("a0"), a(F.lit(1), F.lit(1)).alias("a1"), c.alias("c"))
-    own = F.when(F.col("target") == 1, F.col("a1")).otherwise(F.col("a0"))
-    alone = items.join(small(table, 64), "w").groupBy("rid").agg(F.sum("word").alias("n"), F.sum(F.col("word") * own - F.col("ctx") * F.col("c")).alias("s"))
-    alone = _once(alone, "lm-alone")
-
-    n = F.size("h") - 1
-    seen = h.select("rid", "target", F.inline(F.arrays_zip(F.slice("h", 1, n).alias("v"), F.slice("h", 2, n).alias("w"))))
-    often = seen.groupBy("v", "w").agg(F.sum("target").alias("t"), F.count("*").alias("b")).where("b > 1")
-    often = _once(often, "lm-bigrams")
-    more = often.join(small(ones.select("w", "wt", "wb"), 64), "w")
-    more = more.select(F.xxhash64("v", "w").alias("vw"), *[(a(F.col("t"), F.col("b")) - a(F.lit(k), F.lit(1))).alias(f"d{k}") for k in (0, 1)])
-    held = seen.select("rid", "target", F.xxhash64("v", "w").alias("vw")).join(more, "vw")
-    extra = _once(held.groupBy("rid").agg(F.sum(F.when(F.col("target") == 1, F.col("d1")).otherwise(F.col("d0"))).alias("s")), "lm-extra")
-    forget(often, ones)
-
-    summed = alone.unionByName(extra.withColumn("n", F.lit(0).cast("long"))).groupBy("rid").agg(F.sum("n").alias("n_words"), F.sum("s").alias("s"))
-    out = rows.select("rid", "doc_id").join(summed, "rid", "left")
-    return out.select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.when(F.col("n_words") > 0, F.col("s") / F.col("n_words")).otherwise(0.0).alias("score"))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = max(8, -(-size // RANGE))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    rows = docs.select("doc_id", text).join(small(good, 16), "doc_id", "left").select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("target", F.lit(0)).alias("target"), "text")
+    asked = settle_once(rows.mapInArrow(_ask(ranges), f"{ASK}, ids array<{kind}>"), "lm-asked")
+    sent = asked.where("range >= 0").select("slice", "range", "wh", "wc", "bh", "bc")
+    sent = sent.repartition(min(parts, ranges), "range").sortWithinPartitions("range", "slice").select("slice", "range", "wh", "wc", "bh", "bc")
+    answers = settle_once(sent.mapInArrow(_answer, "slice long, range int, wa binary, ba binary, v long, nt long, nb long"), "lm-answers")
+    v, nt, nb = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "nt", "nb")]).first()
+    both = asked.where("range < 0").select("slice", "range", "n", "own", "pairs", "codes", "ids").unionByName(answers.select("slice", "range", "wa", "ba"), allowMissingColumns=True)
+    both = both.repartition(parts, "slice").sortWithinPartitions("slice", "range")
+    out = settle_once(both.mapInArrow(_final(v, nt, nb, mu), f"doc_id {kind}, n_words long, score double"), "lm-scores")
+    forget(asked, answers)
+    return out

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
-from .ngram_join import salted
+from .common import BROADCAST_BYTES, settle
 
 LOW, GAMMA = 0.2, 0.9
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -140,17 +139,18 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     plain = pages.select(F.struct("page_id", "url", host.alias("host")).alias("key"), "html")
     key = plain.schema["key"].dataType.simpleString()
-    parsed = settle(plain.mapInArrow(run, f"key {key}, blocks array<struct<path:long,text:string>>, nodes array<{node}>, parents array<struct<path:long,h:long>>").select("key.*", "blocks", "nodes", "parents").withColumn("rid", F.monotonically_increasing_id()), "pages")
+    parsed = settle(plain.mapInArrow(run, f"key {key}, blocks array<struct<path:long,text:string>>, nodes array<{node}>, parents array<struct<path:long,h:long>>").select("key.*", "blocks", "nodes", "parents"), "pages")
     each = parsed.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
     contents = _importance(each.groupBy("host", "path", "h").agg(F.count("*").alias("n")))
     parent = each.groupBy("host", "path").agg(F.min("parent").alias("parent"))
     shapes = _importance(parsed.select("host", F.explode("parents").alias("x")).select("host", "x.*").groupBy("host", "path", "h").agg(F.count("*").alias("n")))
     both = contents.join(parent, ["host", "path"]).join(shapes.select("host", F.col("path").alias("parent"), F.col("e").alias("pe")), ["host", "parent"], "left")
     scored = both.select("host", "path", (GAMMA * F.col("e") + (1 - GAMMA) * F.coalesce("pe", F.lit(1.0))).alias("importance"))
-    low = F.when(F.col("importance") < LOW, F.col("path"))
-    bad = settle(scored.groupBy("host").agg(F.collect_set(low).alias("bad")).where(F.size("bad") > 0), "low-nodes")
-    drop = salted(parsed.select("rid", "host"), bad, "host").select("rid", "bad")
-    out = parsed.select("rid", "page_id", "url", "blocks").join(drop, "rid", "left")
+    low = settle(scored.where(F.col("importance") < LOW).select("host", "path"), "low-nodes")
+    host_low = low.groupBy("host").agg(F.collect_set("path").alias("bad"))
+    if low.agg(F.coalesce(F.sum(F.octet_length("host") + 16), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+        host_low = F.broadcast(host_low)
+    out = parsed.select("host", "page_id", "url", "blocks").join(host_low, "host", "left")
     kept = F.filter("blocks", lambda x: F.col("bad").isNull() | ~F.array_contains("bad", x.path))
     text = F.concat_ws("\n\n", F.transform(F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks")), lambda x: x.text))
     return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -98,7 +98,7 @@ class Encoder:
         free = pc.and_(plain, pc.invert(pc.match_substring_regex(texts, JOINED)))
         return pc.split_pattern(pc.if_else(free, pc.replace_substring(pc.replace_substring(texts, ".", " ."), ",", " ,"), texts), " ")
 
-    def batches(self, texts: pa.Array, chars: int = 4 << 20):
+    def batches(self, texts: pa.Array, chars: int = 12 << 20):
         """The ids of the texts in order, as (number of texts, their ids in one array, ends of each text's ids)."""
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         begin = 0

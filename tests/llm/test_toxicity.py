@@ -65,3 +65,23 @@ def test_empty_tables(spark):
     docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert T.score(docs, labels).count() == 0
     assert T.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), labels).first().score == 0.5
+
+
+def test_windows_of_very_long_texts_as_brute_force():
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abdegilnorst") for _ in range(5)) for _ in range(90)]
+    net, seen = T.fit(*zip(*[(t, k) for _, t, k in rows(120)]), epochs=1), T.Vocabulary()
+    for n in (47, 48, 49, 24_575, 24_576, 24_579, 50_001):
+        words = [rng.choice(vocab) for _ in range(n)]
+        windows = [words[a : a + T.WINDOW] for a in ([0] if n <= T.WINDOW else [*range(0, n - T.WINDOW, T.STRIDE), n - T.WINDOW])]
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        at = np.array([[number[w] for w in x] + [-1] * (T.WINDOW - len(x)) for x in windows])
+        want = max(net.forward(net.vectors([seen.ids(w) for w in number]), at[i : i + 500]).max() for i in range(0, len(at), 500))
+        assert abs(T.scores(net, [" ".join(words)], seen)[0] - 1 / (1 + np.exp(-want))) < 1e-5
+
+
+def test_contradictory_labels_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "d e"), (None, "f")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (3, 7)], "doc_id long, toxic int")
+    got = T.score(docs, labels).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "None"] and all(0 <= r.score <= 1 for r in got)

@@ -4,8 +4,8 @@ A text's words are cut into windows of WINDOW words, each starting STRIDE after
 all words are seen. A word's input is its hashed embedding beside the mean of its character trigrams' embeddings. Every window
 passes both directions of the network and attention pooling; the text's score is that of its most toxic window.
 
-Fitting: the driver takes a fixed sample of at most TRAIN_ROWS labelled rows (smallest hashes of doc_id, crc32 fold not 0) with their
-whole texts. A text's loss counts on its most toxic window, which is chosen anew before each epoch; the first choice, and one
+Fitting: the driver takes a fixed sample of at most TRAIN_ROWS labelled rows and TRAIN_BYTES of text (smallest hashes of doc_id, crc32
+fold not 0; the first row whatever its length) with their whole texts. Training settings were chosen on fold 1, with folds 2 to 4 learnt. A text's loss counts on its most toxic window, which is chosen anew before each epoch; the first choice, and one
 component of the word embeddings to start from, are log odds of words in the sample. Seeds are fixed. The model has a fixed size
 (about 2 MB) and is broadcast; scoring is one pass without a shuffle.
 
@@ -25,9 +25,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WINDOW, STRIDE = 48, 24
-TRAIN_ROWS, EPOCHS, BATCH = 4000, 4, 64
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, LEAST_TEXTS, BATCH = 4000, 24 << 20, 4, 8, 64
 WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 15, 1 << 12, 12, 8, 8, 8
 _WORD = re.compile(r"\w+")
 
@@ -147,11 +148,11 @@ def _index(token_ids: list[int]) -> np.ndarray:
     """(windows, WINDOW) of one text's word numbers."""
     n = len(token_ids)
     if n <= WINDOW:
-        return np.array([token_ids + [-1] * (WINDOW - n)])
-    return np.array(token_ids)[np.array(starts(n))[:, None] + np.arange(WINDOW)]
+        return np.array([token_ids + [-1] * (WINDOW - n)], np.int32)
+    return np.array(token_ids, np.int32)[np.array(starts(n))[:, None] + np.arange(WINDOW)]
 
 
-def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Network:
+def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 7, least: int = LEAST_TEXTS) -> Network:
     net, rng, seen = Network(seed), np.random.default_rng(seed), Vocabulary()
     y = np.array(labels, np.float32)
     share = (y.sum() + 1) / (len(y) + 2)
@@ -167,7 +168,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
     for a, k in zip(windows, labels):
         with_word[k, np.unique(bucket[a[a >= 0]])] += 1
     odds = np.log((with_word[1] + 0.3) / (y.sum() + 1)) - np.log((with_word[0] + 0.3 * (1 - share) / share) / (len(y) - y.sum() + 1))
-    odds = np.where(with_word.sum(0) >= 8, odds, 0)
+    odds = np.where(with_word.sum(0) >= least, odds, 0)
     net.p["word"][:, 0] = np.clip(odds, -3, 6) / 2
     word_odds = np.append(odds[bucket], -9)
     pick = [a[np.argmax(word_odds[a].max(1))] for a in windows]
@@ -175,7 +176,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
     step = 0
     for epoch in range(epochs):
         if epoch >= 2:
-            pick = [a[i] for a, i in zip(windows, _best(net, net.vectors(words), windows))]
+            pick = [a[i] for a, i in zip(windows, _best(net, words, windows))]
         deal = rng.permutation(len(y))
         rate = 0.01 * (1 - epoch / epochs)
         for lo in range(0, len(deal), BATCH):
@@ -199,9 +200,14 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
     return net
 
 
-def _best(net: Network, vec: np.ndarray, windows: list[np.ndarray], chunk: int = 2048) -> list[int]:
-    flat = np.concatenate(windows)
-    logit = np.concatenate([net.forward(vec, flat[i : i + chunk]) for i in range(0, len(flat), chunk)])
+def _best(net: Network, words: list, windows: list[np.ndarray], chunk: int = 2048) -> list[int]:
+    """Each text's most toxic window; the words' vectors are made for one chunk of windows at a time."""
+    flat, logit = np.concatenate(windows), []
+    for i in range(0, len(flat), chunk):
+        used, at = np.unique(flat[i : i + chunk], return_inverse=True)
+        pad = int(used[0] < 0)
+        logit.append(net.forward(net.vectors([words[k] for k in used[pad:]]), at.reshape(-1, WINDOW) - pad))
+    logit = np.concatenate(logit)
     at = np.cumsum([0] + [len(a) for a in windows])
     return [int(np.argmax(logit[a:z])) for a, z in zip(at, at[1:])]
 
@@ -221,19 +227,20 @@ def scores(net: Network, texts: Iterator[str | None], seen: Vocabulary, chunk: i
     waiting = 0
     for i, text in enumerate(texts):
         tokens = words_of(text)
-        for lo in range(0, max(1, len(tokens)), STRIDE * chunk):
-            part = tokens[lo : lo + STRIDE * chunk + WINDOW]
+        at = starts(len(tokens))
+        for lo in range(0, len(at), chunk):
+            some = at[lo : lo + chunk]
             ids = []
-            for w in part:
+            for w in tokens[some[0] : some[-1] + WINDOW]:
                 k = number.get(w)
                 if k is None:
                     k = number[w] = len(words)
                     words.append(seen.ids(w))
                 ids.append(k)
-            a = _index(ids)
-            queue.append(a)
-            owner.append(np.full(len(a), i))
-            waiting += len(a)
+            ids += [-1] * (WINDOW - len(ids))
+            queue.append(np.array(ids)[np.array(some)[:, None] - some[0] + np.arange(WINDOW)])
+            owner.append(np.full(len(some), i))
+            waiting += len(some)
             if waiting >= chunk:
                 run()
                 waiting = 0
@@ -250,7 +257,9 @@ def held_out(doc_id):
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Network:
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toPandas().sort_values("doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    size = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = rows.withColumn("_size", size).where((F.col("_size") <= TRAIN_BYTES) | (F.col("_size") == F.octet_length("text"))).drop("_size").toPandas().sort_values("doc_id")
     return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
 
 

@@ -67,7 +67,7 @@ def test_find_and_sanitise(spark):
         spans = plain(t)
         told = lambda xs: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in xs)
         extra = [(m.start(), 4, m.end()) for m in re.finditer("zorblatt", t)]
-        want.append((i, *(sum(k == n for _, k, _ in spans) for n in range(4)), hashlib.sha256(told(spans).encode()).hexdigest(), told(sorted(spans + extra)), len(extra)))
+        want.append((i, *(sum(k == n for _, k, _ in spans) for n in range(4)), hashlib.sha256(told(spans).encode()).hexdigest(), told(sorted(spans + extra)), len(extra), 0, len(spans) + len(extra)))
     assert got == sorted(want, key=str)
     clean = sanitise(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()
@@ -97,3 +97,25 @@ def test_terms_are_marked_in_the_whole_text(spark):
     assert {r.doc_id: r.n_term for r in find(docs).collect() if r.n_term} == {1500: 3}
     texts = {r.doc_id: r.text for r in sanitise(docs).collect()}
     assert texts[1500] == f"[TERM]{far} [TERM] [EMAIL]{far} [EMAIL], [TERM]" and texts[1501] == rows[-1][1]
+
+
+def test_secrets(spark):
+    from tidemark.llm.pii import find, sanitise, secrets
+
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    hits = [f'x token = "{key}" y', f"API_KEY={key}", f"aws_secret_access_key: '{key}'", f'"password" : "Abcdefgh12345678"', f"TOKEN:={key}é"]
+    for t in hits:
+        assert len(secrets(t)) == 1 and t[secrets(t)[0][0] : secrets(t)[0][2]] in (key, "Abcdefgh12345678"), t
+    for t in ("the token = broken", "monkey: abcdefghijklmnopqrstuvw", f"id = {key}", "tokens and keys", "token = 1234567890123456789", f"token {key}", "key = ================"):
+        assert not secrets(t), t
+    begin = __import__("time").time()
+    for t in ("token = " * 40_000, "a-" * 150_000 + "token=" + "x1" * 150_000, "key" * 100_000 + "="):
+        secrets(t)
+    assert __import__("time").time() - begin < 20
+    docs = spark.createDataFrame([(1, hits[0] + " and a@b.co"), (2, "no secret: none"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in find(docs).collect()}
+    assert got[1].n_secret == 1 and got[1].n_email == 1 and got[1].n_spans == 2 + got[1].n_term
+    assert got[1].base_sha256 == hashlib.sha256(got[1].spans.split(",")[-1].encode()).hexdigest()
+    assert got[2].n_spans == got[3].n_spans == 0
+    clean = {r.doc_id: r.text for r in sanitise(docs).collect()}
+    assert clean[1] == 'x token = "[SECRET]" y and [EMAIL]' and clean[2] == "no secret: none" and clean[3] is None

@@ -1,7 +1,8 @@
 """Personal data: base patterns, and terms that reveal the values found.
 
-Base spans (email, ip, card, phone) come from linear scans of whole texts. The information-theoretic part then treats each
-distinct base value as a protected entity: every occurrence has a context of the WINDOW words on either side. Over the whole
+Base spans (email, ip, card, phone) come from linear scans of whole texts, and so do secrets (kind ``secret``): values of SECRET_MIN or
+more signs of at least two kinds, given to a name like token, password or api key. The information-theoretic part then treats each
+distinct base value or secret as a protected entity: every occurrence has a context of the WINDOW words on either side. Over the whole
 corpus, with n_te the distinct contexts of entity e that hold term t, n_e those of e, n_t the documents that hold t and N all
 documents, a term discloses the share PMI(t;e) / IC(e) of the entity's information, PMI = log2(n_te N / ((n_t + UNSEEN) n_e))
 and IC = log2(N / n_e). UNSEEN is the rule of three: a term not seen in N documents stands, at 95 % confidence, in
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, settle, small
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "term", "secret")
 WINDOW, UNSEEN, DISCLOSURE, REMOVE = 8, 3, 0.75, 0.95
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,6 +39,10 @@ QUAD = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 NUMBER = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W\d_]+")
+SECRET_MIN = 16
+#: A credential's name, a sign of assignment and a value, quoted or not.
+SECRET = re.compile(r"(?i)(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,24}[_-]){0,3}(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}([\"']?)([A-Za-z0-9+/_.~=-]{%d,}+)\1" % SECRET_MIN)
+HINT = re.compile(r"(?i)token|secret|passw|pwd|key|credential")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -93,9 +98,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def secrets(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the values given to names of credentials: digits with letters, or both cases of letters."""
+    if not ("=" in text or ":" in text) or not HINT.search(text):
+        return []
+    mixed = lambda v: any(c.isdigit() for c in v) + any(c.islower() for c in v) + any(c.isupper() for c in v) >= 2
+    return [(m.start(2), 5, m.end(2)) for m in SECRET.finditer(text) if mixed(m[2])]
+
+
 def _value(text: str, span: tuple[int, int, int]) -> str:
     raw = text[span[0] : span[2]]
-    return f"{KINDS[span[1]]}:{raw.lower() if span[1] < 2 else re.sub('[^0-9]', '', raw)}"
+    return f"{KINDS[span[1]]}:{raw if span[1] == 5 else raw.lower() if span[1] < 2 else re.sub('[^0-9]', '', raw)}"
 
 
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, list[tuple[str, int, int]]]]:
@@ -133,20 +146,21 @@ def occurrences(text: str, base: list[tuple[int, int, int]], terms: dict[str, fl
 
 SPAN = pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())])
 CONTEXT = pa.struct([("entity", pa.string()), ("ctx", pa.int64()), ("terms", pa.list_(pa.struct([("t", pa.string()), ("s", pa.int32()), ("e", pa.int32())])))])
-DDL = "base array<struct<s:int,k:int,e:int>>, contexts array<struct<entity:string,ctx:bigint,terms:array<struct<t:string,s:int,e:int>>>>"
+DDL = "base array<struct<s:int,k:int,e:int>>, secrets array<struct<s:int,k:int,e:int>>, contexts array<struct<entity:string,ctx:bigint,terms:array<struct<t:string,s:int,e:int>>>>"
 
 
 def scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The kept columns, the base spans and the contexts of every row."""
+    """The kept columns, the base spans, the secrets and the contexts of every row."""
     at = [*keep, text].index(text)
 
     def run(batches):
         for batch in batches:
-            found = [base_spans(t or "") for t in batch.column(at).to_pylist()]
-            near = [contexts(t, f) if f else [] for t, f in zip(batch.column(at).to_pylist(), found, strict=True)]
-            arrays = [*(batch.column(k) for k in range(len(keep))), pa.array([[dict(zip("ske", x, strict=True)) for x in f] for f in found], pa.list_(SPAN))]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            found, hidden = [base_spans(t) for t in texts], [secrets(t) for t in texts]
+            near = [contexts(t, sorted(f + h)) if f or h else [] for t, f, h in zip(texts, found, hidden, strict=True)]
+            arrays = [*(batch.column(k) for k in range(len(keep))), *(pa.array([[dict(zip("ske", x, strict=True)) for x in f] for f in fs], pa.list_(SPAN)) for fs in (found, hidden))]
             arrays.append(pa.array([[{"entity": v, "ctx": c, "terms": [dict(zip("tse", w, strict=True)) for w in ws]} for v, c, ws in n] for n in near], pa.list_(CONTEXT)))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "base", "contexts"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "base", "secrets", "contexts"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) if keep else ""
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kept}, {DDL}")
@@ -188,16 +202,21 @@ def _marked(scanned: DataFrame, terms: DataFrame) -> DataFrame:
     return scanned.select("rid", "held", "base").join(by_row, "rid").mapInArrow(run, "rid long, terms array<struct<s:int,k:int,e:int,d:double>>")
 
 
+def _protected(found: DataFrame) -> DataFrame:
+    """found with base spans and secrets as ``base``: no term is marked inside either."""
+    return found.withColumn("base", F.sort_array(F.concat("base", "secrets")))
+
+
 def find(docs: DataFrame, **thresholds) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) of every row of docs (doc_id, text)."""
-    held = F.when(F.size("base") > 0, F.col("text")).alias("held")
-    found = settle(scan(docs.select("doc_id", "text"), "text", ["doc_id", "text"]).select("doc_id", held, "base", "contexts").withColumn("rid", F.monotonically_increasing_id()), "pii")
-    marked = _marked(found.where("held is not null"), revealing(found, docs, **thresholds))
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_secret, n_spans) of every row of docs (doc_id, text)."""
+    held = F.when(F.size("base") + F.size("secrets") > 0, F.col("text")).alias("held")
+    found = settle(scan(docs.select("doc_id", "text"), "text", ["doc_id", "text"]).select("doc_id", held, "base", "secrets", "contexts").withColumn("rid", F.monotonically_increasing_id()), "pii")
+    marked = _marked(_protected(found.where("held is not null")), revealing(found, docs, **thresholds))
     bare = F.coalesce(F.transform("terms", lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e"))), F.array().cast("array<struct<s:int,k:int,e:int>>"))
     label = F.array(*map(F.lit, KINDS))
     told = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.element_at(label, x.k + 1), x.s, x.e)))
     count = lambda k: F.size(F.filter("base", lambda x: x.k == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.join(marked, "rid", "left").select("doc_id", *map(count, range(4)), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.sort_array(F.concat("base", bare))).alias("spans"), F.size(bare).cast("long").alias("n_term"))
+    return found.join(marked, "rid", "left").select("doc_id", *map(count, range(4)), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.sort_array(F.concat("base", "secrets", bare))).alias("spans"), F.size(bare).cast("long").alias("n_term"), F.size("secrets").cast("long").alias("n_secret"), (F.size("base") + F.size("secrets") + F.size(bare)).cast("long").alias("n_spans"))
 
 
 def mask(text: str, spans: list[tuple[int, int, int, float]]) -> str:
@@ -215,9 +234,10 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" if c != "text" else "text" for k, c in enumerate(names)])
     found = settle(scan(plain, "text", plain.columns).withColumn("rid", F.monotonically_increasing_id()), "pii")
-    marked = _marked(found.where(F.size("base") > 0).withColumn("held", F.col("text")), revealing(found, docs.select("text"), **thresholds))
+    hit = _protected(found).where(F.size("base") > 0)
+    marked = _marked(hit.withColumn("held", F.col("text")), revealing(found, docs.select("text"), **thresholds))
     spans = F.concat(F.transform("base", lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e"), F.lit(0.0).alias("d"))), F.coalesce("terms", F.array().cast("array<struct<s:int,k:int,e:int,d:double>>")))
-    held = found.where(F.size("base") > 0).select("rid", "text", "base").join(marked, "rid", "left").select("rid", "text", spans.alias("spans"))
+    held = hit.select("rid", "text", "base").join(marked, "rid", "left").select("rid", "text", spans.alias("spans"))
 
     def run(batches):
         for batch in batches:

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def merge(intervals: DataFrame, key: str, start: str = "start_us", end: str = "end_us") -> DataFrame:
-    """Union of each key's intervals; touching ones become one. Rows without a bound, or that end before they start, are dropped."""
+def merge(intervals: DataFrame, key: str, start: str = "start_us", end: str = "end_us", aggs: list | None = None) -> DataFrame:
+    """Union of each key's intervals, with their number n; touching ones become one. Rows without a bound, or that end before they
+    start, are dropped. aggs: further aggregates over the intervals that became one."""
     before = Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
     ok = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)))
     new = ok.withColumn("_new", F.when(F.col(start) <= F.max(end).over(before), 0).otherwise(1))
     part = new.withColumn("_part", F.sum("_new").over(upto))
-    return part.groupBy(key, "_part").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_part")
+    return part.groupBy(key, "_part").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *(aggs or [])).drop("_part")
 
 
 def sessions(events: DataFrame, key: str, time: str, gap_us: int, pre_us: int = 0, post_us: int = 0) -> DataFrame:

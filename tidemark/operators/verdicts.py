@@ -27,14 +27,6 @@ def bounded_sum(value: Column, partial: Column) -> tuple[Column, Column]:
     return F.sum(value), F.coalesce(F.bool_or(value.isNull() | F.coalesce(partial, F.lit(False))), F.lit(False))
 
 
-def vote(rows: DataFrame, keys: list[str], value: str, least: int = 2) -> DataFrame:
-    """The most frequent value of each key, null if fewer than ``least`` rows agree or two values tie."""
-    n = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("votes"))
-    top = n.groupBy(*keys).agg(F.max("votes").alias("votes"), F.max_by(value, "votes").alias("_v"), F.sort_array(F.collect_list("votes"), False).alias("_all"))
-    tie = (F.size("_all") > 1) & (F.col("_all")[0] == F.get("_all", F.lit(1)))
-    return top.select(*keys, "votes", F.when((F.col("votes") >= least) & ~F.coalesce(tie, F.lit(False)), F.col("_v")).alias("agreed"))
-
-
 def unknown_last(value: str, descending: bool = True) -> Column:
     """Sort order in which unknown and NaN values come last, whatever the direction."""
     known = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))

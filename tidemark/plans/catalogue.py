@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import intervals, joins, verdicts
+from ..operators import intervals, joins, readings, verdicts
 from ..session import ship
 
 HOUR = 3_600_000_000
@@ -88,7 +88,7 @@ def sum_lower_bound(spark, sf_dir):
 
 
 def consensus_vote(spark, sf_dir):
-    return verdicts.vote(_events(spark, sf_dir).withColumn("k", F.col("k") % 7), ["user_id", "event_type"], "k")
+    return readings.vote(_events(spark, sf_dir).withColumn("k", F.col("k") % 7), ["user_id", "event_type"], "k")
 
 
 def counter_drop_lag(spark, sf_dir):

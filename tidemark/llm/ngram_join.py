@@ -7,8 +7,9 @@
 3. A set's prefix is what must meet any partner's. Classes with the same prefix and size form a group, and only groups stand in
    the posting lists. Group pairs pass size and position filters, are expanded to pairs of classes, pass a parity bitmap filter
    (a strict lower bound of the symmetric difference) and are verified on whole sets.
-4. Large groups of near copies: ROUNDS rounds compare each list's members with one leader of the list; after that only pairs whose
-   ends are still in different components are compared, all of them, by bands of size. So no link between components is lost,
+4. Large groups of near copies: in ROUNDS rounds every list names one leader, and each member is compared with the first LEADERS of
+   its lists' leaders; after that only pairs whose ends are still in different components are compared, all of them, by bands of
+   size. So no link between components is lost,
    and no list of linked texts is expanded into all its pairs.
 
 A pair of sets of n and m shingles is misjudged only if two of its shingles share a 64-bit hash, at odds of n * m / 2**64.
@@ -35,7 +36,9 @@ from .words import ascii_words, hashed, mix, slices
 
 WORDS, PERCENT = 4, 85
 CELLS, RANGES, HOT = 1 << 28, 256, 1 << 20
-ROUNDS, PER_SALT, BITS = 2, 2000, 1024
+ROUNDS, LEADERS, PER_SALT, BITS = 2, 4, 2000, 1024
+#: Shifts a size above any place in a prefix.
+PLACE = 1 << 32
 #: Sets a task remembers, so that it stores equal ones once.
 SEEN = 500_000
 
@@ -226,10 +229,13 @@ def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     groups = classes.groupBy("gid").agg(F.min("rid").alias("unit"), F.max("rid").alias("last"), F.min_by("prefix", "rid").alias("prefix"), F.min_by("n", "rid").alias("n"))
     groups = settle_once(groups, "groups")
     members = classes.select("gid", "rid", "n").join(groups.where("last > unit").select("gid", "unit"), "gid")
-    tokens = groups.select("unit", "n", F.posexplode("prefix").alias("pos", "key"), F.lit(True).alias("group"))
-    inner = members.select(F.col("rid").alias("unit"), "n", F.lit(0).alias("pos"), F.xxhash64("gid").alias("key"), F.lit(False).alias("group"))
+    # in the postings, negative units are classes inside a group, and size and place are one number
+    tokens = groups.select("unit", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "unit", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
+    inner = members.select(F.xxhash64("gid").alias("key"), (-F.col("rid") - 1).alias("unit"), F.shiftleft("n", 32).alias("at"))
     dealt = tokens.unionByName(inner).repartition("key")
-    lists = settle_once(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "key"), "lists")
+    lists = dealt.join(dealt.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "key")
+    lists = lists.select("key", F.when(F.col("unit") < 0, -F.col("unit") - 1).otherwise(F.col("unit")).alias("unit"), F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit(PLACE - 1)).alias("pos"), (F.col("unit") >= 0).alias("group"), "held")
+    lists = settle_once(lists, "lists")
     side = classes.select("rid", "n", "bits")
     few = classes.count() * (BITS // 8 + 50) <= BROADCAST_BYTES
     found, tagged, comp = [], lists.withColumn("lo", F.col("unit")).withColumn("hi", F.col("unit")), None
@@ -252,10 +258,11 @@ def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             cand = tagged.withColumn("salt", F.pmod(F.xxhash64("unit"), salts).cast("int")).join(lead, ["key", "salt"])
             cand = cand.select("unit", "n", "pos", "lo", "hi", F.col("l.unit").alias("unit2"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"), F.col("l.lo").alias("lo2"), F.col("l.hi").alias("hi2"))
             cand = _filtered(cand.where("unit <> unit2 and (lo <> lo2 or hi <> hi2 or lo <> hi)"), percent)
-            pairs = cand.select(F.col("unit2").alias("a"), F.col("unit").alias("b"))
+            best = cand.groupBy("unit").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("unit2", F.lit(turn)).alias("h"), F.col("unit2").alias("a")))), 1, LEADERS).alias("l"))
+            pairs = best.select(F.explode("l.a").alias("a"), F.col("unit").alias("b"))
         else:
             pairs = _rest(tagged, members, comp, percent)
-        pairs = settle_once(pairs.distinct(), "pairs")
+        pairs = settle_once(pairs.distinct() if turn == ROUNDS else pairs, "pairs")
         links = verified(pairs, sets, side, few, percent)
         found += [links] if links is not None else []
         forget(pairs, *([tagged] if turn else []))

@@ -5,8 +5,8 @@ vocabulary (all words of the corpus), smoothed alike: p(w | v) = (c(v, w) + MU *
 A document's score is the mean over its words of log p_target - log p_background: above 0, it is more like the target. All counts
 come from all rows and stay distributed. Words are told apart by 64-bit hashes.
 
-Texts are read once, a slice at a time. A slice asks for the counts of its distinct words and bigrams, with its own counts of
-them, in one sorted array for each range of hashes; so a word of every text is sent once a slice, not once an occurrence. The
+Texts are read once, a slice at a time; what is kept of a slice are its distinct words and bigrams, its counts of them and which of
+them its documents hold. A slice then asks for the counts over all slices, in one sorted array for each range of hashes; so a word of every text is sent once a slice, not once an occurrence. The
 ranges' tasks add up what the slices sent and answer each of them in its order; there are as many ranges as the input's size asks
 for. Slice and answers meet again by the slice's number. Arrays travel as differences of sorted numbers in planes of bytes.
 
@@ -29,7 +29,7 @@ from .words import hashed, letter_words, mix, slices
 
 MU = 4.0
 #: Bytes of text in a slice, in a range of hashes and in a partition of slices.
-SLICE, RANGE, PART = 8 << 20, 16 << 20, 32 << 20
+SLICE, RANGE, PART = 4 << 20, 16 << 20, 16 << 20
 #: Stands before the first word; no word is written like this.
 START = pd.util.hash_array(np.array(["^"], object), categorize=False)[0]
 
@@ -56,44 +56,59 @@ def pairs_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(v) * np.uint64(0x9E3779B97F4A7C15) + w)
 
 
-ASK = "slice long, range int, wh binary, wc binary, bh binary, bc binary, n binary, own binary, pairs binary, codes binary"
-ASK_NAMES = [x.split()[0] for x in ASK.split(", ")]
+ASK = "slice long, n binary, own binary, pairs binary, codes binary, wc binary, bc binary"
 
 
-def _ask(ranges: int):
-    """Of batches (rid, doc_id, target, text): the slices' own rows (range -1) and what each asks of the ranges."""
+def _ask(batches):
+    """Of batches (rid, doc_id, target, text) one row for each slice: its distinct words and bigrams, its own counts of them, and
+    which bigrams each of its documents holds."""
+    for b in batches:
+        for begin, end in slices(b.column(3), SLICE):
+            part = b.slice(begin, end - begin)
+            h, ends = hashed(letter_words(part.column(3)))
+            n = np.diff(ends, prepend=0)
+            own, w = np.unique(np.append(h, START), return_inverse=True)
+            start, w = w[-1], w[:-1]
+            v = np.append(start, w[:-1])[: len(w)]
+            v[(ends - n)[n > 0]] = start
+            good = np.repeat(part.column(2).to_numpy(), n) == 1
+            pairs, code = np.unique(w * np.int64(len(own)) + v, return_inverse=True)
+            count = lambda x, size: np.stack([np.bincount(x[good], minlength=size), np.bincount(x, minlength=size)]).astype(np.uint32)  # noqa: B023, E731
+            wc, bc = np.concatenate([count(w, len(own)), count(v, len(own))]), count(code, len(pairs))
+            codes = np.sort(np.repeat(np.arange(len(n)), n) * np.int64(max(len(pairs), 1)) + code) % max(len(pairs), 1)
+            raw = [n.astype(np.uint32).tobytes(), pack(own), pack(pairs.astype(np.uint64)), pack(codes.astype(np.uint32)), planes(wc), planes(bc)]
+            ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[0].as_py()], pa.int64()), *[pa.array([x], pa.binary()) for x in raw], ids], names=[x.split()[0] for x in ASK.split(", ")] + ["ids"])
+
+
+def _bigrams(own: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of a slice's bigrams, sorted; which bigram each is of)."""
+    h = pairs_hash(own[pairs % len(own)], own[pairs // len(own)])
+    order = np.argsort(h)
+    return h[order], order
+
+
+def _send(ranges: int):
+    """What each slice (slice, own, pairs, wc, bc) asks of the ranges of hashes, one row for each."""
 
     def cut(h):
         return np.searchsorted((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
 
     def run(batches):
         for b in batches:
-            for begin, end in slices(b.column(3), SLICE):
-                part = b.slice(begin, end - begin)
-                h, ends = hashed(letter_words(part.column(3)))
-                n = np.diff(ends, prepend=0)
-                own, w = np.unique(np.append(h, START), return_inverse=True)
-                start, w = w[-1], w[:-1]
-                v = np.append(start, w[:-1])[: len(w)]
-                v[(ends - n)[n > 0]] = start
-                good = np.repeat(part.column(2).to_numpy(), n) == 1
-                pairs, code = np.unique(w * np.int64(len(own)) + v, return_inverse=True)
-                count = lambda x, size: np.stack([np.bincount(x[good], minlength=size), np.bincount(x, minlength=size)]).astype(np.uint32)
-                wc = np.concatenate([count(w, len(own)), count(v, len(own))])
-                bc, bh = count(code, len(pairs)), pairs_hash(own[pairs % len(own)], own[pairs // len(own)])
-                order = np.argsort(bh)
-                bh, bc = bh[order], bc[:, order]
-                codes = np.sort(np.repeat(np.arange(len(n)), n) * np.int64(max(len(pairs), 1)) + code) % max(len(pairs), 1)
-                key, rows = part.column(0)[0].as_py(), []
-                wat, bat = cut(own), cut(bh)
+            for k in range(b.num_rows):
+                key, own, pairs, wc, bc = (c[k].as_py() for c in b.columns)
+                own = unpack(own, np.uint64)
+                bh, order = _bigrams(own, unpack(pairs, np.uint64).astype(np.int64))
+                wc, bc = numbers(wc, np.uint32).reshape(4, -1), numbers(bc, np.uint32).reshape(2, -1)[:, order]
+                rows, wat, bat = [], cut(own), cut(bh)
                 for r in range(ranges):
                     (a, z), (c, d) = wat[r : r + 2], bat[r : r + 2]
                     if z > a or d > c:
-                        rows.append((r, pack(own[a:z]), planes(wc[:, a:z]), pack(bh[c:d]), planes(bc[:, c:d]), None, None, None, None))
-                rows.append((-1, None, None, None, None, n.astype(np.uint32).tobytes(), pack(own), pack(pairs.astype(np.uint64)), pack(codes.astype(np.uint32))))
-                cols = list(zip(*rows))
-                ids = pa.ListArray.from_arrays(pa.array([0] * len(rows) + [len(part)], pa.int32()), part.column(1))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], ids], names=[*ASK_NAMES, "ids"])
+                        rows.append((key, r, pack(own[a:z]), planes(wc[:, a:z]), pack(bh[c:d]), planes(bc[:, c:d])))
+                if rows:
+                    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["slice", "range", "wh", "wc", "bh", "bc"])
 
     return run
 
@@ -141,7 +156,7 @@ def _final(v: int, nt: int, nb: int, mu: float):
         ba = np.concatenate([numbers(x, np.int64).reshape(2, -1) for x in pairs_], axis=1)
         a, w = pairs % len(names), pairs // len(names)
         back = np.empty(len(pairs), np.int64)
-        back[np.argsort(pairs_hash(names[a], names[w]))] = np.arange(len(pairs))
+        back[_bigrams(names, pairs)[1]] = np.arange(len(pairs))
         ba = ba[:, back]
         p = lambda k, total: np.log(ba[k] + mu * (wa[k, w] + 1.0) / (total + v or 1)) - np.log(wa[2 + k, a] + mu)
         sums = np.append(0.0, np.cumsum((p(0, nt) - p(1, nb))[codes]))
@@ -178,12 +193,12 @@ def score(docs: DataFrame, labels: DataFrame, mu: float = MU) -> DataFrame:
     ranges = max(8, -(-size // RANGE))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
     rows = docs.select("doc_id", text).join(small(good, 16), "doc_id", "left").select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("target", F.lit(0)).alias("target"), "text")
-    asked = settle_once(rows.mapInArrow(_ask(ranges), f"{ASK}, ids array<{kind}>"), "lm-asked")
-    sent = asked.where("range >= 0").select("slice", "range", "wh", "wc", "bh", "bc")
-    sent = sent.repartition(min(parts, ranges), "range").sortWithinPartitions("range", "slice").select("slice", "range", "wh", "wc", "bh", "bc")
+    asked = settle_once(rows.mapInArrow(_ask, f"{ASK}, ids array<{kind}>"), "lm-asked")
+    sent = asked.select("slice", "own", "pairs", "wc", "bc").mapInArrow(_send(ranges), "slice long, range int, wh binary, wc binary, bh binary, bc binary")
+    sent = sent.repartition(min(parts, ranges), "range").sortWithinPartitions("range", "slice")
     answers = settle_once(sent.mapInArrow(_answer, "slice long, range int, wa binary, ba binary, v long, nt long, nb long"), "lm-answers")
     v, nt, nb = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "nt", "nb")]).first()
-    both = asked.where("range < 0").select("slice", "range", "n", "own", "pairs", "codes", "ids").unionByName(answers.select("slice", "range", "wa", "ba"), allowMissingColumns=True)
+    both = asked.select("slice", F.lit(-1).alias("range"), "n", "own", "pairs", "codes", "ids").unionByName(answers.select("slice", "range", "wa", "ba"), allowMissingColumns=True)
     both = both.repartition(parts, "slice").sortWithinPartitions("slice", "range")
     out = settle_once(both.mapInArrow(_final(v, nt, nb, mu), f"doc_id {kind}, n_words long, score double"), "lm-scores")
     forget(asked, answers)

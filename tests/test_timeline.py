@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
 from tidemark.operators import folds, intervals, joins
 from tidemark.sources import files
 from tidemark.streaming import sessions
@@ -51,12 +50,6 @@ def test_within_one_edit(spark, a, b, d):
     assert got == ([] if d is None else [(a, b, d)])
 
 
-def test_text_functions(spark):
-    df = spark.createDataFrame([("[TAG] Jo_hn 1", "rec 2024-02-30 10-11-12.mp4", 61), ("[x]", "2024.02.03_101112", -1), (None, None, None)], "n string, f string, s int")
-    got = df.select(text.name_key(F.col("n")), F.date_format(text.recording_time(F.col("f")), "yyyy-MM-dd HH:mm:ss"), text.clock(F.col("s"))).collect()
-    assert [tuple(r) for r in got] == [("john1", None, "1:01"), (None, "2024-02-03 10:11:12", None), (None, None, None)]
-
-
 def test_json_lines_keep_the_malformed_apart(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"frame": 1}\n\n{"frame": \nnot json\n{"frame": 2, "more": 3}\n')
     from pyspark.sql.types import StructType

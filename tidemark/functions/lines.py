@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
 from .unicode import compact, nfkc, spaced
 
 # The action words at the head of a line.
@@ -50,20 +51,24 @@ LOADING = ("積分賽", "排位賽", "排位赛", "积分赛", "大逃殺", "大
 
 def clean_target(text: Column, square: bool = False) -> Column:
     """The name a line ends with, without action words, points and captions; the empty text if no name can be read."""
-    target = spaced(F.coalesce(text, F.lit("")))
+    return _target(spaced(F.coalesce(text, F.lit(""))), square)
+
+
+def _target(target: Column, square: bool = False) -> Column:
+    """clean_target of a text that is normalised."""
     for _ in range(3):
         target = F.regexp_replace(target, HEAD, "")
     target = F.btrim(F.regexp_replace(target, POINTS, ""), F.lit(EDGE))
-    dense = F.upper(F.regexp_replace(target, r"(?U)\s+", ""))
-    named = target.rlike(r"\p{L}") | target.rlike("^[0-9]{5,20}$")
-    wrong = target.rlike(NOT_IN_TARGETS) | dense.rlike(TARGET_CAPTIONS) | dense.rlike(CUT_WORDS)
-    if not square:
-        wrong = wrong | target.contains("□")
-    return F.when(F.length(target).between(1, 48) & named & ~wrong, target).otherwise(F.lit(""))
 
+    def judged(t: Column) -> Column:
+        dense = F.upper(F.regexp_replace(t, r"(?U)\s+", ""))
+        named = t.rlike(r"\p{L}") | t.rlike("^[0-9]{5,20}$")
+        wrong = t.rlike(NOT_IN_TARGETS) | let(dense, lambda d: d.rlike(TARGET_CAPTIONS) | d.rlike(CUT_WORDS))
+        if not square:
+            wrong = wrong | t.contains("□")
+        return F.when(F.length(t).between(1, 48) & named & ~wrong, t).otherwise(F.lit(""))
 
-def _rest(text: Column, head: str) -> Column:
-    return F.btrim(F.regexp_replace(text, head, ""))
+    return let(target, judged)
 
 
 def latin_look(text: Column) -> Column:
@@ -71,25 +76,33 @@ def latin_look(text: Column) -> Column:
     return F.translate(text, CYRILLIC, LATIN)
 
 
-def result_line(text: Column) -> Column:
-    """struct(kind, action, target_text, target_raw, text, locale) of a line that starts with an own result; else null."""
-    clean = spaced(text)
-    look = latin_look(clean)
+def _row(kind: Column, action: Column, raw: Column, text: Column, locale: Column) -> Column:
+    return let(F.btrim(raw), lambda r: F.struct(kind.alias("kind"), action.alias("action"), _target(r).alias("target_text"), r.alias("target_raw"), text.alias("text"), locale.alias("locale")))
+
+
+def _assist(after: Column, fixed: Column) -> Column:
+    """The row of an assist: what follows names the action, if it can be read."""
+    kind, locale = F.lit("assist"), result_locale(fixed)
+    knocked = _row(kind, F.lit("knock"), F.regexp_replace(after, ASSIST_KNOCK, ""), fixed, locale)
+    ended = _row(kind, F.lit("elimination"), F.regexp_replace(after, ASSIST_ELIMINATION, ""), fixed, locale)
+    return F.when(after.rlike(ASSIST_KNOCK), knocked).when(after.rlike(ASSIST_ELIMINATION), ended).otherwise(_row(kind, F.lit("unknown"), after, fixed, locale))
+
+
+def _line(clean: Column) -> Column:
+    """result_line of a text that is normalised."""
     fixed = clean
     for pattern, to in REPAIRS:
         fixed = F.regexp_replace(fixed, pattern, to)
-    ru_assist, ru_knock = look.rlike(RU_ASSIST_KNOCK), look.rlike(RU_KNOCK)
-    head = lambda pattern: F.length(F.regexp_extract(look, pattern, 0))
-    ru_raw = F.btrim(F.substring(clean, F.when(ru_assist, head(RU_ASSIST_KNOCK)).otherwise(head(RU_KNOCK)) + 1, F.length(clean)))
-    after = _rest(fixed, ASSIST)
-    kind = F.when(ru_assist, "assist").when(ru_knock, "knock").when(fixed.rlike(ASSIST), "assist").when(fixed.rlike(KNOCK), "knock").when(fixed.rlike(ELIMINATION), "elimination")
-    assisted = F.when(after.rlike(ASSIST_KNOCK), "knock").when(after.rlike(ASSIST_ELIMINATION), "elimination").otherwise("unknown")
-    action = F.when(ru_assist | ru_knock, "knock").when(kind == "assist", assisted).otherwise(kind)
-    of_assist = F.when(assisted == "knock", F.regexp_replace(after, ASSIST_KNOCK, "")).when(assisted == "elimination", F.regexp_replace(after, ASSIST_ELIMINATION, "")).otherwise(after)
-    raw = F.when(ru_assist | ru_knock, ru_raw).when(kind == "assist", of_assist).when(kind == "knock", _rest(fixed, KNOCK)).when(kind == "elimination", _rest(fixed, ELIMINATION))
-    shown = F.when(ru_assist | ru_knock, clean).otherwise(fixed)
-    locale = F.when(ru_assist | ru_knock, "ru").otherwise(result_locale(fixed))
-    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), action.alias("action"), clean_target(raw).alias("target_text"), raw.alias("target_raw"), shown.alias("text"), locale.alias("locale")))
+    tail = lambda look, head: F.substring(clean, F.length(F.regexp_extract(look, head, 0)) + 1, F.length(clean))
+    russian = lambda look, kind, head: _row(F.lit(kind), F.lit("knock"), tail(look, head), clean, F.lit("ru"))
+    own = lambda f, kind, head: _row(F.lit(kind), F.lit(kind), F.regexp_replace(f, head, ""), f, result_locale(f))
+    other = let(fixed, lambda f: F.when(f.rlike(ASSIST), let(F.btrim(F.regexp_replace(f, ASSIST, "")), lambda after: _assist(after, f))).when(f.rlike(KNOCK), own(f, "knock", KNOCK)).when(f.rlike(ELIMINATION), own(f, "elimination", ELIMINATION)))
+    return let(latin_look(clean), lambda look: F.when(look.rlike(RU_ASSIST_KNOCK), russian(look, "assist", RU_ASSIST_KNOCK)).when(look.rlike(RU_KNOCK), russian(look, "knock", RU_KNOCK)).otherwise(other))
+
+
+def result_line(text: Column) -> Column:
+    """struct(kind, action, target_text, target_raw, text, locale) of a line that starts with an own result; else null."""
+    return let(spaced(text), _line)
 
 
 def result_locale(text: Column) -> Column:
@@ -105,11 +118,15 @@ def result_locale(text: Column) -> Column:
 
 def known_dialogue(text: Column) -> Column:
     """Whether a line is speech: a speaker's colon, or an action word inside a sentence about somebody."""
-    plain = nfkc(text)
-    before = F.substring_index(F.regexp_replace(plain, CUE, "\u0000"), "\u0000", 1)
-    own_head = plain.rlike("(?i)^(?:助攻|ASSIST|已消滅|已消灭|擊倒|击倒|KNOCKED|ELIMINATED)")
-    told = before.contains(":") | before.rlike("(?i)我被|你被|被人|I(?: AM| WAS)? |YOU(?: ARE| WERE)? ") | (result_line(text).isNull() & plain.rlike("[。!?！？]"))
-    return F.when(plain.contains(":") & ~own_head, True).when(~plain.rlike(CUE), False).otherwise(told)
+
+    def judged(plain: Column) -> Column:
+        own_head = plain.rlike("(?i)^(?:助攻|ASSIST|已消滅|已消灭|擊倒|击倒|KNOCKED|ELIMINATED)")
+        line = _line(F.btrim(F.regexp_replace(plain, r"(?U)\s+", " ")))
+        first = F.regexp_replace(plain, f"(?s)(?:{CUE}).*$", "")
+        told = let(first, lambda b: b.contains(":") | b.rlike("(?i)我被|你被|被人|I(?: AM| WAS)? |YOU(?: ARE| WERE)? ")) | (line.isNull() & plain.rlike("[。!?！？]"))
+        return F.when(plain.contains(":") & ~own_head, True).when(~plain.rlike(CUE), False).otherwise(told)
+
+    return let(nfkc(text), judged)
 
 
 def grammar_confirmable(after_dialogue: Column, target_text: Column, target_raw: Column) -> Column:
@@ -121,11 +138,15 @@ def grammar_confirmable(after_dialogue: Column, target_text: Column, target_raw:
 
 def classification_prefix(text: Column) -> Column:
     """struct(kind, action, english, length) of the first provable head of a line; else null."""
-    value, out = spaced(text), F.lit(None)
-    for kind, action, english, head in reversed(PREFIXES):
-        found = F.struct(F.lit(kind).alias("kind"), F.lit(action).alias("action"), F.lit(english).alias("english"), F.length(F.regexp_extract(value, head, 0)).alias("length"))
-        out = F.when(value.rlike(head), found).otherwise(out)
-    return out
+
+    def first(value: Column) -> Column:
+        out = F.lit(None)
+        for kind, action, english, head in reversed(PREFIXES):
+            found = F.struct(F.lit(kind).alias("kind"), F.lit(action).alias("action"), F.lit(english).alias("english"), F.length(F.regexp_extract(value, head, 0)).alias("length"))
+            out = F.when(value.rlike(head), found).otherwise(out)
+        return out
+
+    return let(spaced(text), first)
 
 
 def _any_of(text: Column, titles: tuple[str, ...]) -> Column:

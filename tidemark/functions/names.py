@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
 from .unicode import casefold, letters_digits, nfkc
 
 # The forms of a clan tag before a name, in the order in which they are cut.
@@ -52,12 +53,15 @@ def glyph_family(key: Column) -> Column:
 def player_name(text: Column, square: bool = False) -> Column:
     """The name a reading holds, or the empty text if it cannot be one. square: a rendered square may be part of it."""
     bare = strip_clan_tag(F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
-    name = F.btrim(bare, F.lit(EDGE))
-    named = name.rlike(r"\p{L}") | name.rlike(DIGIT_NAME) | (name.rlike(SIGNED_DIGIT_NAME) & (F.length(name) >= 4))
-    wrong = name.rlike(NOT_IN_NAMES) | name.rlike(LOOSE_ARROW) | F.upper(name_key(name)).isin(*CAPTIONS) | name.rlike(CAPTION_WORDS)
-    if not square:
-        wrong = wrong | name.contains("□")
-    return F.when(F.length(name).between(2, 40) & named & ~wrong, name).otherwise(F.lit(""))
+
+    def judged(name: Column) -> Column:
+        named = name.rlike(r"\p{L}") | name.rlike(DIGIT_NAME) | (name.rlike(SIGNED_DIGIT_NAME) & (F.length(name) >= 4))
+        wrong = name.rlike(NOT_IN_NAMES) | name.rlike(LOOSE_ARROW) | letters_digits(F.upper(name)).isin(*CAPTIONS) | name.rlike(CAPTION_WORDS)
+        if not square:
+            wrong = wrong | name.contains("□")
+        return F.when(F.length(name).between(2, 40) & named & ~wrong, name).otherwise(F.lit(""))
+
+    return let(F.btrim(bare, F.lit(EDGE)), judged)
 
 
 def close_keys(left: Column, right: Column, least: int = 6) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
+
 # The three forms of a time in a file name; groups in reading order.
 STANDARD = r"(\d{4})[-_]?(\d{2})[-_]?(\d{2})[ T_-]+(\d{2})[-_:]?(\d{2})(?:[-_:]?(\d{2}))?"
 NATURAL = r"(\d{4})年(\d{1,2})月(\d{1,2})日\s*(\d{1,2})点(\d{1,2})分(?:(\d{1,2})秒)?"
@@ -21,26 +23,31 @@ def _two(n: Column) -> Column:
     return F.lpad(n.cast("string"), 2, "0")
 
 
-def _when(name: Column) -> list[Column]:
-    """year, month, day, hour, minute, second (null if not given) of the form that fits; all null if none does."""
-    at = lambda pattern, i: F.nullif(F.regexp_extract(name, pattern, i), F.lit("")).cast("int")
-    form = F.when(name.rlike(MONTH_FIRST), 1).when(name.rlike(STANDARD), 2).when(name.rlike(NATURAL), 3)
-    order = (3, 1, 2, 4, 5, 6)
-    return [F.when(form == 1, at(MONTH_FIRST, order[i])).when(form == 2, at(STANDARD, i + 1)).when(form == 3, at(NATURAL, i + 1)) for i in range(6)]
+def _parts(name: Column) -> Column:
+    """[year, month, day, hour, minute, second] as texts (empty: not given) of the form that fits; null if none does."""
+    at = lambda pattern, order: F.array(*[F.regexp_extract(name, pattern, i) for i in order])
+    return F.when(name.rlike(MONTH_FIRST), at(MONTH_FIRST, (3, 1, 2, 4, 5, 6))).when(name.rlike(STANDARD), at(STANDARD, range(1, 7))).when(name.rlike(NATURAL), at(NATURAL, range(1, 7)))
+
+
+def _instant(p: Column) -> Column:
+    """yyyy-MM-ddTHH:mm[:ss] of the parts, if they are a time at all."""
+    pad = lambda i: F.lpad(F.get(p, F.lit(i)), 2, "0")
+    n = lambda i: F.get(p, F.lit(i)).try_cast("int")
+    day = F.concat_ws("-", F.get(p, F.lit(0)), pad(1), pad(2))
+    clock = F.concat(pad(3), F.lit(":"), pad(4), F.when(F.get(p, F.lit(5)) == "", "").otherwise(F.concat(F.lit(":"), pad(5))))
+    fits = lambda d: (n(0) >= 100) & F.try_to_date(d, "yyyy-MM-dd").isNotNull() & (n(3) <= 23) & (n(4) <= 59) & (F.coalesce(n(5), F.lit(0)) <= 59)
+    return let(day, lambda d: F.when(fits(d), F.concat(d, F.lit("T"), clock)))
 
 
 def recording_time(path: Column) -> Column:
     """yyyy-MM-ddTHH:mm[:ss] from a file's name; impossible dates and other names: null."""
-    y, mo, d, h, mi, s = _when(base_name(path))
-    day = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), _two(mo), _two(d))
-    fits = (y >= 100) & F.try_to_date(day, F.lit("yyyy-MM-dd")).isNotNull() & (h <= 23) & (mi <= 59) & (F.coalesce(s, F.lit(0)) <= 59)
-    return F.when(fits, F.concat(day, F.lit("T"), _two(h), F.lit(":"), _two(mi), F.when(s.isNull(), "").otherwise(F.concat(F.lit(":"), _two(s)))))
+    return let(base_name(path), lambda name: let(_parts(name), _instant))
 
 
 def recording_day(recorded: Column, path: Column) -> Column:
     """The calendar day of a recording, from its own time or else its file's name; unknown: the empty text."""
     day = F.regexp_extract(F.coalesce(recorded, recording_time(path), F.lit("")), r"^(\d{4}-\d{2}-\d{2})", 1)
-    return F.when(F.try_to_date(F.nullif(day, F.lit("")), F.lit("yyyy-MM-dd")).isNotNull(), day).otherwise(F.lit(""))
+    return let(day, lambda d: F.when(F.try_to_date(F.nullif(d, F.lit("")), "yyyy-MM-dd").isNotNull(), d).otherwise(F.lit("")))
 
 
 def _plain(day: Column, i: int) -> Column:
@@ -68,12 +75,13 @@ def date_filter_label(value: Column) -> Column:
 
 def file_prefix(path: Column, modified_us: Column) -> Column:
     """Head of an exported file's name: the recording's time, or where its name has none the file's own, at UTC+8."""
-    y, mo, d, h, mi, s = _when(base_name(path))
-    by_name = base_name(path).rlike(r"(\d{4})[-_]?(\d{2})[-_]?(\d{2})[ T_-]+(\d{2})[-_:]?(\d{2})[-_:]?(\d{2})") & recording_time(path).isNotNull() & ~base_name(path).rlike(MONTH_FIRST)
-    named = F.concat(y, F.lit("年"), mo, F.lit("月"), d, F.lit("日 "), h, F.lit("点"), _two(mi), F.lit("分"))
+    form = r"(\d{4})[-_]?(\d{2})[-_]?(\d{2})[ T_-]+(\d{2})[-_:]?(\d{2})[-_:]?(\d{2})"
+    plain = lambda p, i: F.get(p, F.lit(i)).cast("int").cast("string")
+    told = lambda p: F.concat(F.get(p, F.lit(0)), F.lit("年"), plain(p, 1), F.lit("月"), plain(p, 2), F.lit("日 "), plain(p, 3), F.lit("点"), F.get(p, F.lit(4)), F.lit("分"))
+    named = let(base_name(path), lambda n: F.when(n.rlike(form), let(F.array(*[F.regexp_extract(n, form, i) for i in range(1, 7)]), lambda p: F.when(_instant(p).isNotNull(), told(p)))))
     local = F.timestamp_micros(modified_us + F.lit(8 * 3_600_000_000))
     other = F.date_format(F.convert_timezone(F.lit("UTC"), F.lit("UTC"), local.cast("timestamp_ntz")), "y年M月d日 H点mm分")
-    return F.when(by_name, named).otherwise(other)
+    return F.coalesce(named, other)
 
 
 def clip_file_name(path: Column, modified_us: Column, ordinal: Column, kills: Column, damage: Column, weapons: Column) -> Column:

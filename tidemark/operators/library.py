@@ -169,7 +169,7 @@ def shares(counts: DataFrame, name: str, n: str) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc(n), F.asc(name))
     total = F.sum(n).over(Window.partitionBy(F.lit(0)))
     upto = F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
-    return counts.withColumn("share", F.col(n) / total).withColumn("offset", upto / total)
+    return counts.withColumn("share", F.col(n) / total).withColumn("before", upto / total)
 
 
 def known_partners(seen: DataFrame, me: str, name: str, match: str, confidence: str, least: int = 2, sure: float = 0.8) -> DataFrame:
@@ -186,7 +186,7 @@ def rank_counts(clips: DataFrame, rank: str) -> DataFrame:
 
 def day_totals(clips: DataFrame, day: Column) -> DataFrame:
     """(year, month, day, n) of all levels; unknown days are left out."""
-    d = clips.select(F.try_to_date(day, F.lit("yyyy-MM-dd")).alias("d")).where("d is not null")
+    d = clips.select(F.try_to_date(day, "yyyy-MM-dd").alias("d")).where("d is not null")
     return d.select(F.year("d").alias("year"), F.month("d").alias("month"), F.dayofmonth("d").alias("day")).rollup("year", "month", "day").agg(F.count("*").alias("n"))
 
 
@@ -291,20 +291,27 @@ def overlay(clips: DataFrame, fixes: DataFrame, keys: list[str], bounds: list[st
     return out.select(*[F.coalesce(c + "_fix", c).alias(c) if c in fields else F.col(c) for c in clips.columns])
 
 
-def link_moved(missing: DataFrame, found: DataFrame) -> DataFrame:
-    """(from_path, to_path, tier) of files that were moved: missing (path, name, size, mtime_ms) and found rows of one size are linked
-    by the best of three tiers that makes a unique pair on both sides: equal time, equal name, the size alone. Links of a better
-    tier take their files out of the lower ones."""
-    m = missing.select(F.col("path").alias("from_path"), F.lower("name").alias("mn"), "size", F.col("mtime_ms").alias("mt"))
-    f = found.select(F.col("path").alias("to_path"), F.lower("name").alias("fn"), "size", F.col("mtime_ms").alias("ft"))
-    out, left, right = None, m, f
-    for tier, (a, b) in enumerate(((["size", "mt"], ["size", "ft"]), (["size", "mn"], ["size", "fn"]), (["size"], ["size"]))):
-        one_l = left.groupBy(*a).agg(F.count("*").alias("n"), F.min("from_path").alias("from_path")).where("n = 1").drop("n").toDF(*[f"k{i}" for i in range(len(a))], "from_path")
-        one_r = right.groupBy(*b).agg(F.count("*").alias("n"), F.min("to_path").alias("to_path")).where("n = 1").drop("n").toDF(*[f"k{i}" for i in range(len(b))], "to_path")
-        hit = one_l.join(one_r, [f"k{i}" for i in range(len(a))]).select("from_path", "to_path", F.lit(tier).alias("tier"))
-        out = hit if out is None else out.unionAll(hit)
-        left, right = left.join(hit, "from_path", "left_anti").select(*m.columns), right.join(hit, "to_path", "left_anti").select(*f.columns)
-    return out
+def link_moved(missing: DataFrame, found: DataFrame, within_ms: int = 2000) -> DataFrame:
+    """(from_path, to_path, basis) of files that were moved: missing (path, name, size, mtime_ms, duration), found (path, name, size,
+    mtime_ms). A missing file's choices are the files of its size and nearly its time; without any, those of its size and name;
+    without any, the only file of its size, if no other missing file has that size and its duration is known. It is linked if it
+    has one choice that is no other's choice too. All joins are on size with time, name or uniqueness, never on size alone."""
+    m = missing.select(F.col("path").alias("from_path"), F.lower("name").alias("n"), "size", F.col("mtime_ms").alias("t"), "duration", path_key(F.col("path")).alias("mk"))
+    f = found.select(F.col("path").alias("to_path"), F.lower("name").alias("n"), "size", F.col("mtime_ms").alias("ft"), path_key(F.col("path")).alias("fk"))
+    near = f.withColumn("_b", F.explode(F.array(*[F.floor(F.col("ft") / within_ms) + d for d in (-1, 0, 1)]))).drop("n")
+    other = F.col("mk") != F.col("fk")
+    option = lambda df, basis: df.select("from_path", "mk", "to_path", "fk", F.lit(basis).alias("basis"))
+    timed = option(m.withColumn("_b", F.floor(F.col("t") / within_ms)).join(near, ["size", "_b"]).where(other & (F.abs(F.col("t") - F.col("ft")) <= within_ms)), "size_mtime")
+    rest = m.join(timed.select("mk").distinct(), "mk", "left_anti")
+    named = option(rest.join(f, ["size", "n"]).where(other), "size_name")
+    rest = rest.join(named.select("mk").distinct(), "mk", "left_anti")
+    lone = m.groupBy("size").agg(F.count("*").alias("c")).where("c = 1").select("size")
+    few = f.groupBy("size").agg(F.count("*").alias("c")).where("c <= 2").select("size")
+    of_size = rest.where("duration is not null and not isnan(duration)").join(lone, "size", "left_semi").join(f.drop("n").join(few, "size", "left_semi"), "size").where(other)
+    single = option(of_size, "size_unique").withColumn("_n", F.count("*").over(Window.partitionBy("mk"))).where("_n = 1").drop("_n")
+    options = timed.unionAll(named).unionAll(single)
+    counted = options.withColumn("_c", F.count("*").over(Window.partitionBy("mk"))).withColumn("_v", F.count("*").over(Window.partitionBy("fk")))
+    return counted.where("_c = 1 and _v = 1").select("from_path", "to_path", "basis")
 
 
 def bad_moves(moves: DataFrame, files: DataFrame, seconds: float = 0.5) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import names
+from ..session import ship
 from ..operators import folds, intervals, joins
 from .catalogue import EV, GAP, HOUR, SES, _events, _t
 
@@ -56,13 +57,15 @@ def stable_counter_vote(spark, sf_dir):
 
 
 def merge_existing_wins(spark, sf_dir):
-    o, n = _t(spark, sf_dir, "documents").select("doc_id", "n_chars"), _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("n_chars"))
-    return joins.merge_existing(o.where("doc_id % 3 <> 0").withColumn("n_chars", F.col("n_chars").cast("long")), n, ["doc_id"])
+    """Labels as known rows; documents add the rows without labels and the verdicts that are null there."""
+    known = _t(spark, sf_dir, "labels").select("doc_id", F.nullif("toxic", F.lit(1)).cast("long").alias("flag"), F.col("quality").cast("long").alias("quality"))
+    added = _t(spark, sf_dir, "documents").select("doc_id", F.lit(9).cast("long").alias("flag"), (F.col("n_chars") % 7).cast("long").alias("quality"))
+    return joins.merge_existing(known, added, ["doc_id"])
 
 
 def name_canonical(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("[t"), F.col("c_nationkey"), F.lit("] "), F.col("c_mktsegment"), F.lit(" "), F.col("c_custkey") % 50).alias("name"))
-    return c.groupBy(text.glyph_family(text.name_key(F.col("name"))).alias("name_key")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_key"))
+    c = _t(ship(spark), sf_dir, "customer").select("c_custkey", F.concat(F.lit("[t"), F.col("c_nationkey"), F.lit("] "), F.col("c_mktsegment"), F.lit(" "), F.col("c_custkey") % 50).alias("name"))
+    return c.groupBy(names.glyph_family(names.name_key(F.col("name"))).alias("name_key")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_key"))
 
 
 def fuzzy_resolve(spark, sf_dir):
@@ -70,29 +73,6 @@ def fuzzy_resolve(spark, sf_dir):
     return joins.within_one_edit(names, _t(spark, sf_dir, "part").select(F.col("p_name").alias("known")), "name", "known")
 
 
-RULES = [("warning", "(?i)warning|notice"), ("number", "[0-9]{3,}"), ("question", r"\?"), ("list", ", .*, "), ("word", "[a-z]")]
-
-
-def result_grammar(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", text.first_rule(F.coalesce("text", F.lit("")), RULES, "none").alias("rule"))
-
-
-def recording_time_parse(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 15).alias("m"), (F.col("o_orderkey") % 33).alias("d"), (F.col("o_orderkey") % 3).alias("f"))
-    two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
-    name = F.when(F.col("f") == 0, F.concat(F.lit("rec 2024-"), two("m"), F.lit("-"), two("d"), F.lit(" 10-11-12.mp4"))).when(F.col("f") == 1, F.concat(F.lit("rec_2024."), two("m"), F.lit("."), two("d"), F.lit(" - 10.11.12.mp4"))).otherwise(F.concat(F.lit("2024"), two("m"), two("d"), F.lit("_101112")))
-    return o.select("o_orderkey", F.date_format(text.recording_time(name), "yyyy-MM-dd HH:mm:ss").alias("recorded"))
-
-
-def clock_labels(spark, sf_dir):
-    return _events(spark, sf_dir).select("event_id", text.clock(F.col("cents") / 10).alias("label"))
-
-
-def icon_dice(spark, sf_dir):
-    p = _t(spark, sf_dir, "part")
-    return p.select("p_partkey", F.round(text.bit_dice(F.col("p_partkey").cast("long"), F.col("p_size").cast("long")), 6).alias("dice"))
-
-
 def rank_distribution(spark, sf_dir):
     return _t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
 
@@ -119,7 +99,7 @@ def stream_closed_sessions(spark, sf_dir):
 
 def queries() -> dict:
     every = (asof_next_tolerance, nearest_row, overlap_join, interval_subtract, snap_align, greedy_thinning, event_fold, stable_counter_vote, merge_existing_wins, name_canonical)
-    every += (fuzzy_resolve, result_grammar, recording_time_parse, clock_labels, icon_dice, rank_distribution, partners_having, stream_closed_sessions)
+    every += (fuzzy_resolve, rank_distribution, partners_having, stream_closed_sessions)
     return {f.__name__: f for f in every}
 
 
@@ -139,8 +119,6 @@ def _merged(source: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     two = f"with {EV}, {_ses('click', 'a')}, {_ses('error', 'b')}"
-    pad = lambda c: f"lpad(({c})::varchar, 2, '0')"
-    day = f"try_strptime('2024-' || {pad('o_orderkey % 15')} || '-' || {pad('o_orderkey % 33')} || ' 10:11:12', '%Y-%m-%d %H:%M:%S')"
     return {
         "asof_next_tolerance": f"with {EV} select p.event_id, p.user_id, p.t_us, case when c.t_us - p.t_us < {TOLERANCE} then c.t_us end as next_us from (select * from ev where event_type = 'purchase') p asof left join (select * from ev where event_type = 'click') c on p.user_id = c.user_id and p.t_us <= c.t_us",
         "nearest_row": f"with {EV} select e.event_id, e.user_id, e.t_us, s.t_us as near_us from (select * from ev where event_type = 'error') e left join (select * from ev where event_type = 'signup') s using (user_id) qualify row_number() over (partition by e.event_id order by abs(s.t_us - e.t_us), s.t_us) = 1",
@@ -158,13 +136,9 @@ def oracle_sql() -> dict[str, str]:
  s as (select *, k - max(k) over (partition by user_id, r order by t_us, event_id rows between unbounded preceding and 1 preceding) as step from r) select event_id, user_id, t_us, step::bigint as step from s where step > 0""",
         "stable_counter_vote": f"""with {EV}, n as (select *, row_number() over (partition by user_id order by t_us, event_id) as i, k % 5 as v from ev)
  select a.event_id, a.v as k, count(*) as agreeing from n a join n b on a.user_id = b.user_id and b.i between a.i - 2 and a.i + 2 and a.v = b.v and abs(a.t_us - b.t_us) <= {24 * HOUR} group by 1, 2 having count(*) >= 2""",
-        "merge_existing_wins": "select coalesce(o.doc_id, l.doc_id) as doc_id, coalesce(o.n_chars, l.quality)::bigint as n_chars from (select doc_id, n_chars from documents where doc_id % 3 <> 0) o full join labels l on o.doc_id = l.doc_id",
+        "merge_existing_wins": "select d.doc_id, coalesce(nullif(l.toxic, 1), 9)::bigint as flag, coalesce(l.quality, d.n_chars % 7)::bigint as quality from documents d left join labels l on d.doc_id = l.doc_id",
         "name_canonical": "with n as (select c_custkey, lower(regexp_replace(c_mktsegment || (c_custkey % 50)::varchar, '[^A-Za-z0-9]', '', 'g')) as k from customer) select case when length(k) >= 10 then regexp_replace(k, '[il]+', 'i', 'g') else k end as name_key, count(*) as n, min(c_custkey) as first_key from n group by 1",
         "fuzzy_resolve": "with n as (select distinct substring(p_name, 1, 2) || substring(p_name, 4) as name from part), d as (select distinct p_name as known from part) select name, known, levenshtein(name, known)::int as distance from n, d where levenshtein(name, known) <= 1",
-        "result_grammar": "select doc_id, case " + " ".join(f"when regexp_matches(coalesce(text, ''), '{p}') then '{n}'" for n, p in RULES) + " else 'none' end as rule from documents",
-        "recording_time_parse": f"select o_orderkey, strftime({day}, '%Y-%m-%d %H:%M:%S') as recorded from orders",
-        "clock_labels": f"with {EV} select event_id, case when cents >= 0 then (cents // 600)::varchar || ':' || lpad(((cents // 10) % 60)::varchar, 2, '0') end as label from ev",
-        "icon_dice": "select p_partkey, round(case when bit_count(p_partkey::bigint) + bit_count(p_size::bigint) = 0 then 0.0::double else 2.0::double * bit_count(p_partkey::bigint & p_size::bigint) / (bit_count(p_partkey::bigint) + bit_count(p_size::bigint)) end, 6) as dice from part",
         "rank_distribution": "select o_orderpriority, count(*) as n, count(*) filter (o_orderstatus = 'F') as finished from orders group by 1",
         "partners_having": "select l_suppkey, count(distinct l_orderkey) as orders from lineitem group by 1 having count(distinct l_orderkey) >= 2",
         "stream_closed_sessions": f"""with {EV}, c as (select *, case when t_us - lag(t_us) over (partition by user_id order by t_us) < {GAP} then 0 else 1 end as c from ev),

@@ -137,7 +137,10 @@ def path_key(path: Column) -> Column:
 
 
 def _no_parents(p: Column) -> Column:
-    step = lambda done, part: F.when((part == "..") & (F.size(done) > 0) & ~F.element_at(done, -1).isin("..", ""), F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+    """p without .. parts that have a parent to leave; at the root they mean nothing."""
+    last = lambda done: F.element_at(done, -1)
+    up = lambda done: F.when(F.size(done) == 0, F.array(F.lit(".."))).when(last(done) == "..", F.concat(done, F.array(F.lit("..")))).when(last(done) == "", done).otherwise(F.slice(done, F.lit(1), F.size(done) - 1))
+    step = lambda done, part: F.when(part == "..", up(done)).otherwise(F.concat(done, F.array(part)))
     return F.when(p.contains(".."), F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/")).otherwise(p)
 
 

@@ -67,7 +67,7 @@ def read_journal(spark: SparkSession, path: str, signature: str, schema: StructT
 
 def inventory(spark: SparkSession, root: str, pattern: str = "*", skip: tuple[str, ...] = (), depth: int | None = None) -> DataFrame:
     """(path, size, modified) of the files below root; folders named in skip, whatever their case, are left out, and files more than
-    ``depth`` folders down. Contents are not read."""
+    ``depth`` folders down. Contents are not read. Empty files are not listed."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     out = df.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     for name in skip:

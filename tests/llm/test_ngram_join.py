@@ -82,10 +82,14 @@ def test_groups_of_equal_prefixes(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == brute(rows[:-1])
 
 
-def test_keep_one(spark):
+def test_keep_one(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(2, text, 1, 1), (2, text, 2, 1), (None, text, 3, 1), (7, text + " x", 4, 1), (8, "", 5, 1), (8, "", 6, 1), (9, None, 7, 1), (None, "lone text of five words", 8, 1)]
     kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string, rid int, _digest int")).collect()
     assert kept[0].__fields__ == ["doc_id", "text", "rid", "_digest"]
     assert sorted(r.rid for r in kept if r.rid > 2) == [5, 6, 7, 8] and len(kept) == 5
     assert J.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    spark.createDataFrame(rows, "doc_id long, text string, line int, file int").repartition(3).write.parquet(f"file://{tmp_path}/docs")
+    table = spark.read.parquet(f"file://{tmp_path}/docs")
+    again = J.keep_one(table).collect()
+    assert again[0].__fields__ == ["doc_id", "text", "line", "file"] and len(again) == 5 and sorted(r.line for r in again if r.line > 2) == [5, 6, 7, 8]

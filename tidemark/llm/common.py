@@ -106,8 +106,10 @@ def contract(edges: DataFrame, a: str = "a", b: str = "b", most: int = 400_000)
 
 
 def labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): nodes of one label are connected; not all connected nodes have one label. One pass, no loop."""
-    return contract(edges, a, b).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+    """(node, label): nodes of one label are connected; not all connected nodes have one label. Two passes, no loop."""
+    once = contract(edges, a, b).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+    further = once.select(F.col("node").alias("label"), F.col("label").alias("_next"))
+    return once.join(further, "label", "left").select("node", F.coalesce("_next", "label").alias("label"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:

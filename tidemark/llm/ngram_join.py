@@ -7,8 +7,8 @@
 3. A set's prefix is what must meet any partner's. Classes with the same prefix and size form a group, and only groups stand in
    the posting lists. Group pairs pass size and position filters, are expanded to pairs of classes, pass a parity bitmap filter
    (a strict lower bound of the symmetric difference) and are verified on whole sets.
-4. Large groups of near copies: in ROUNDS rounds every list names one leader, and each member is compared with the first LEADERS of
-   its lists' leaders; after that only pairs whose ends are still in different components are compared, all of them, by bands of
+4. Large groups of near copies: in ROUNDS rounds every list names some leaders (LEADERS, more once most members are linked), and each
+   member (later only those outside its list's largest component) is compared with the MEETINGS of them that it shares most lists with. From the second round on the lists are those of two, then three tokens in a row, whose members are more alike; after that only pairs whose ends are still in different components are compared, all of them, by bands of
    size. So no link between components is lost,
    and no list of linked texts is expanded into all its pairs.
 
@@ -28,15 +28,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import BROADCAST_BYTES, components, forget, labels, settle, settle_once, small
 from .words import ascii_words, hashed, mix, slices
 
 WORDS, PERCENT = 4, 85
 CELLS, RANGES, HOT = 1 << 28, 256, 1 << 20
-ROUNDS, LEADERS, PER_SALT, BITS = 2, 4, 2000, 1024
+ROUNDS, LEADERS, MEETINGS, PER_SALT, BITS = 3, (4, 24), 32, 2000, 1024
 #: Shifts a size above any place in a prefix.
 PLACE = 1 << 32
 #: Sets a task remembers, so that it stores equal ones once.
@@ -73,16 +75,17 @@ def _lists(arrays: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, kind), mask=mask)
 
 
-def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """(rid, doc_id, digest: of the text, n, cid, set) of every row (rid, doc_id, text); set is null if its task stored an equal one."""
+def _sets(rows: DataFrame, words: int, keep: list[str]) -> DataFrame:
+    """(rid, doc_id, digest: of the text, keep, n, cid, set) of every row (rid, doc_id, keep, text); set is null if its task stored an
+    equal one."""
 
     def make(batches):
         seen: set[bytes] = set()
         for b in batches:
-            for begin, end in slices(b.column(3)):
+            for begin, end in slices(b.column(b.num_columns - 1)):
                 part = b.slice(begin, end - begin)
                 n, cids, sets = [], [], []
-                for s in shingles(part.column(3), words):
+                for s in shingles(part.column(b.num_columns - 1), words):
                     cid = hashlib.md5(s.tobytes()).digest() if len(s) else None
                     n.append(len(s))
                     cids.append(cid)
@@ -91,10 +94,11 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
                         seen.add(cid)
                 if len(seen) > SEEN:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(cids, pa.binary()), _lists(sets, pa.int64())], names=["rid", "doc_id", "digest", "n", "cid", "set"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64()), pa.array(cids, pa.binary()), _lists(sets, pa.int64())], names=["rid", "doc_id", "digest", *keep, "n", "cid", "set"])
 
-    plain = rows.select("rid", F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    return settle(plain.mapInArrow(make, "rid long, doc_id long, digest string, n long, cid binary, set array<long>"), "sets")
+    plain = rows.select("rid", F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), *keep, F.coalesce("text", F.lit("")).alias("text"))
+    kept = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return settle(plain.mapInArrow(make, f"rid long, doc_id long, digest string{kept}, n long, cid binary, set array<long>"), "sets")
 
 
 def _cell_counts(sets: DataFrame) -> DataFrame:
@@ -232,36 +236,42 @@ def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     # in the postings, negative units are classes inside a group, and size and place are one number
     tokens = groups.select("unit", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "unit", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
     inner = members.select(F.xxhash64("gid").alias("key"), (-F.col("rid") - 1).alias("unit"), F.shiftleft("n", 32).alias("at"))
-    dealt = tokens.unionByName(inner).repartition("key")
-    lists = dealt.join(dealt.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "key")
-    lists = lists.select("key", F.when(F.col("unit") < 0, -F.col("unit") - 1).otherwise(F.col("unit")).alias("unit"), F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit(PLACE - 1)).alias("pos"), (F.col("unit") >= 0).alias("group"), "held")
+    lists = _shared(tokens.unionByName(inner)).select("key", F.when(F.col("unit") < 0, -F.col("unit") - 1).otherwise(F.col("unit")).alias("unit"), F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit(PLACE - 1)).alias("pos"), (F.col("unit") >= 0).alias("group"), "held")
     lists = settle_once(lists, "lists")
     side = classes.select("rid", "n", "bits")
     few = classes.count() * (BITS // 8 + 50) <= BROADCAST_BYTES
     found, tagged, comp = [], lists.withColumn("lo", F.col("unit")).withColumn("hi", F.col("unit")), None
     for turn in range(ROUNDS + 1):
-        if turn:
+        if turn and found:
+            at = lists if turn == ROUNDS else settle_once(_chained(lists, turn + 1), "chained")
             linked = _all(found, sets)
-            comp = settle(labels(linked).select(F.col("node").alias("rid"), F.col("label").alias("component")), "comp")
+            found_so_far = components(linked, name="ngram").withColumnRenamed("node", "rid") if turn == ROUNDS else labels(linked).select(F.col("node").alias("rid"), F.col("label").alias("component"))
+            comp = settle(found_so_far, "comp")
             near = small(comp, 24)
             whole = members.select("unit", "rid").join(near, "rid", "left").select("unit", F.coalesce("component", "rid").alias("c")).groupBy("unit").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
             whole = small(settle(whole.withColumn("group", F.lit(True)), "whole"), 48)
             single = near.select(F.col("rid").alias("unit"), F.col("component").alias("c"))
-            tagged = lists.join(whole, ["unit", "group"], "left").join(single, "unit", "left")
+            tagged = at.join(whole, ["unit", "group"], "left").join(single, "unit", "left")
             tagged = tagged.select("key", "unit", "n", "pos", "group", "held", F.coalesce("lo", "c", "unit").alias("lo"), F.coalesce("hi", "c", "unit").alias("hi"))
             spread = tagged.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key")
             tagged = settle_once(tagged.join(spread, "key", "left_semi"), "tagged")
         if turn < ROUNDS:
             salts = F.ceil(F.col("held") / PER_SALT).cast("int")
-            lead = tagged.groupBy("key", "held").agg(F.min(F.struct(F.xxhash64("unit", F.lit(turn)).alias("h"), "unit", "n", "pos", "lo", "hi")).alias("l"))
+            bucket = F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(LEADERS[min(turn, 1)]))
+            lead = tagged.groupBy("key", "held", bucket.alias("_b")).agg(F.min(F.struct(F.xxhash64("unit", F.lit(turn)).alias("h"), "unit", "n", "pos", "lo", "hi")).alias("l"))
             lead = lead.select("key", "l", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-            cand = tagged.withColumn("salt", F.pmod(F.xxhash64("unit"), salts).cast("int")).join(lead, ["key", "salt"])
+            asking = tagged
+            if turn:  # only what is not yet in its list's largest component
+                most = tagged.groupBy("key", "lo").count().groupBy("key").agg(F.max(F.struct("count", "lo")).alias("m")).select("key", F.col("m.lo").alias("main"))
+                asking = tagged.join(most, "key").where("lo <> main or hi <> main").drop("main")
+            cand = asking.withColumn("salt", F.pmod(F.xxhash64("unit"), salts).cast("int")).join(lead, ["key", "salt"])
             cand = cand.select("unit", "n", "pos", "lo", "hi", F.col("l.unit").alias("unit2"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"), F.col("l.lo").alias("lo2"), F.col("l.hi").alias("hi2"))
             cand = _filtered(cand.where("unit <> unit2 and (lo <> lo2 or hi <> hi2 or lo <> hi)"), percent)
-            best = cand.groupBy("unit").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("unit2", F.lit(turn)).alias("h"), F.col("unit2").alias("a")))), 1, LEADERS).alias("l"))
+            met = cand.groupBy("unit", F.col("unit2").alias("a")).agg((-F.count("*")).alias("often"))
+            best = met.groupBy("unit").agg(F.slice(F.array_sort(F.collect_list(F.struct("often", F.xxhash64("a", F.lit(turn)).alias("h"), "a"))), 1, MEETINGS).alias("l"))
             pairs = best.select(F.explode("l.a").alias("a"), F.col("unit").alias("b"))
         else:
-            pairs = _rest(tagged, members, comp, percent)
+            pairs = _rest(tagged, members, comp if comp is not None else settle(labels(_all(found, sets)).select(F.col("node").alias("rid"), F.col("label").alias("component")), "comp"), percent)
         pairs = settle_once(pairs.distinct() if turn == ROUNDS else pairs, "pairs")
         links = verified(pairs, sets, side, few, percent)
         found += [links] if links is not None else []
@@ -270,6 +280,21 @@ def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return _all(found, sets)
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """rows whose key at least two of them have, with the number as ``held``."""
+    dealt = rows.repartition("key")
+    return dealt.join(dealt.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "key")
+
+
+def _chained(lists: DataFrame, chain: int) -> DataFrame:
+    """Lists of groups that share ``chain`` tokens which follow one another among the listed ones of their prefixes: shorter lists of
+    more similar groups. They only propose links early; what they miss the last comparison finds."""
+    w = Window.partitionBy("unit").orderBy("pos")
+    key = F.xxhash64("key", *[F.lead("key", i).over(w) for i in range(1, chain)])
+    rows = lists.where("group").select(key.alias("key"), F.lead("key", chain - 1).over(w).alias("_last"), "unit", "n", "pos", "group")
+    return _shared(rows.where("_last is not null").drop("_last"))
+
+
 def _all(found: list[DataFrame], sets: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, found) if found else sets.sparkSession.createDataFrame([], "a long, b long")
 
@@ -289,20 +314,22 @@ def _rest(tagged: DataFrame, members: DataFrame, comp: DataFrame, percent: int)
     return cand.select(F.col("rid2").alias("a"), F.col("rid").alias("b"))
 
 
-def linked(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(rid, doc_id, digest, n, class_id, component: both null without shingles, component_id) of every row (rid, doc_id, text)."""
-    sets = _sets(rows, words)
+def linked(rows: DataFrame, words: int = WORDS, percent: int = PERCENT, keep: list[str] | None = None) -> DataFrame:
+    """(rid, doc_id, digest, keep, n, class_id, component: both null without shingles, component_id) of every row (rid, doc_id, keep,
+    text)."""
+    keep = keep or []
+    sets = _sets(rows, words, keep)
     classes = _classes(sets, percent)
     comp = components(_links(sets, classes, percent), name="ngram")
     named = classes.select("cid", "rid").join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("cid", "rid", F.coalesce("component", "rid").alias("component"))
-    filled = sets.where("n > 0").select("rid", "doc_id", "digest", "n", "cid")
+    filled = sets.where("n > 0").select("rid", "doc_id", "digest", *keep, "n", "cid")
     least = settle(filled.groupBy("cid").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).join(named, "cid"), "least")
     ids = least.groupBy("component").agg(F.min("low").alias("component_id"))
     by_class = least.select("component", "cid", F.col("rid").alias("class_id"))
     by_class = salted(by_class, ids, "component", hot_keys(by_class, "component", least.count()), ["cid"])
     hot = small(settle(least.where(F.col("rows") > PER_SALT).select("cid", F.ceil(F.col("rows") / PER_SALT).cast("int").alias("k")), "hot"), 80)
-    found = salted(filled, by_class, "cid", hot, ["rid"]).select("rid", "doc_id", "digest", "n", "class_id", "component", "component_id")
-    blank = sets.where("n = 0").select("rid", "doc_id", "digest", "n", F.lit(None).cast("long"), F.lit(None).cast("long"), "doc_id")
+    found = salted(filled, by_class, "cid", hot, ["rid"]).select("rid", "doc_id", "digest", *keep, "n", "class_id", "component", "component_id")
+    blank = sets.where("n = 0").select("rid", "doc_id", "digest", *keep, "n", F.lit(None).cast("long"), F.lit(None).cast("long"), "doc_id")
     return found.unionAll(blank)
 
 
@@ -316,12 +343,24 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     """docs without all but one row of each component: the smallest doc_id's (of equal ids, the smallest digest of the text,
     then the first row). Null ids come last. Rows without shingles all stay; other columns stay as they are, whatever their names."""
     names = docs.columns
-    held = docs.toDF(*[f"c{k}" for k in range(len(names))]).withColumn("rid", F.monotonically_increasing_id())
-    held = settle(held, "rows")
     at = {c: f"c{k}" for k, c in enumerate(names)}
-    found = settle(linked(held.select("rid", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")), words, percent).where("component is not null"), "found")
+    held, place = _placed(docs)
+    rows = held.select(F.monotonically_increasing_id().alias("rid"), F.col(at["doc_id"]).alias("doc_id"), *place, F.col(at["text"]).alias("text"))
+    found = settle(linked(rows, words, percent, place).where("component is not null"), "found")
     head = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "rid")).alias("h"), F.count("*").alias("rows"))
     several = settle(head.where("rows > 1").select("component", F.col("h.rid").alias("head"), "rows"), "heads")
     hot = small(settle(several.where(F.col("rows") > PER_SALT).select("component", F.ceil(F.col("rows") / PER_SALT).cast("int").alias("k")), "hot"), 80)
-    gone = settle(salted(found.select("rid", "component"), several.drop("rows"), "component", hot, ["rid"]).where("rid <> head").select("rid"), "gone")
-    return held.join(small(gone, 24), "rid", "left_anti").drop("rid").toDF(*names)
+    gone = settle(salted(found.select("rid", *place, "component"), several.drop("rows"), "component", hot, ["rid"]).where("rid <> head").select(*place), "gone")
+    return held.join(small(gone, 250), place, "left_anti").select(*at.values()).toDF(*names)
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with its columns as c0, c1 ... and columns that name each row alike whenever it is read: the file and the place in it, or,
+    where docs is no plain table of files, a number it is written out with."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    try:
+        told = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("line"))
+        told.schema  # noqa: B018  resolves the columns
+        return told, ["file", "line"]
+    except AnalysisException:
+        return settle(docs.toDF(*names).withColumn("line", F.monotonically_increasing_id()), "rows"), ["line"]

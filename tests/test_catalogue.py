@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import catalogue, jobs, library, recordings, scalars, timeline
+from tidemark.plans import catalogue, evidence, jobs, library, recordings, scalars, timeline
 
-PLANS = {catalogue: "sf0.01", timeline: "sf0.01", recordings: "sf0.001", library: "sf0.001", scalars: "sf0.001", jobs: "sf0.001"}
+PLANS = {catalogue: "sf0.01", timeline: "sf0.01", recordings: "sf0.001", library: "sf0.001", scalars: "sf0.001", jobs: "sf0.001", evidence: "sf0.001"}
 CASES = [(name, plan, sf) for plan, sf in PLANS.items() for name in plan.queries()]
 
 

@@ -70,6 +70,7 @@ def test_a_list_shared_by_many_unlinked_texts(spark):
 def test_groups_of_equal_prefixes(spark, monkeypatch):
     """With hot cells for everything but the first shingles, many classes share prefix and size; the links are the same."""
     monkeypatch.setattr(J, "PER_SALT", 3)
+    monkeypatch.setattr(J, "BITMAP_BYTES", 0)
     rng = random.Random(4)
     head, rows = [f"h{i}" for i in range(30)], []
     for i in range(40):

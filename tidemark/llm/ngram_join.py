@@ -39,6 +39,8 @@ from .words import ascii_words, hashed, mix, slices
 WORDS, PERCENT = 4, 85
 CELLS, RANGES, HOT = 1 << 28, 256, 1 << 20
 ROUNDS, LEADERS, MEETINGS, PER_SALT, BITS = 3, (4, 24), 32, 2000, 1024
+#: Bitmaps of all classes are broadcast only if smaller; the driver holds a broadcast several times over.
+BITMAP_BYTES = 12 << 20
 #: Shifts a size above any place in a prefix.
 PLACE = 1 << 32
 #: Sets a task remembers, so that it stores equal ones once.
@@ -239,7 +241,7 @@ def _links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     lists = _shared(tokens.unionByName(inner)).select("key", F.when(F.col("unit") < 0, -F.col("unit") - 1).otherwise(F.col("unit")).alias("unit"), F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit(PLACE - 1)).alias("pos"), (F.col("unit") >= 0).alias("group"), "held")
     lists = settle_once(lists, "lists")
     side = classes.select("rid", "n", "bits")
-    few = classes.count() * (BITS // 8 + 50) <= BROADCAST_BYTES
+    few = classes.count() * (BITS // 8 + 50) <= BITMAP_BYTES
     found, tagged, comp = [], lists.withColumn("lo", F.col("unit")).withColumn("hi", F.col("unit")), None
     for turn in range(ROUNDS + 1):
         if turn and found:

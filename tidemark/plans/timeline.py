@@ -88,7 +88,10 @@ def stream_closed_sessions(spark, sf_dir):
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and spark.sparkContext.master.startswith("local-cluster") or not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
     base = f"{root.rstrip('/')}/tidemark/stream-{uuid.uuid4().hex}"
     schema = _t(spark, sf_dir, "events").schema
     live = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)

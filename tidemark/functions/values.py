@@ -22,6 +22,15 @@ def known(x: Column) -> Column:
     return F.when((d >= 0) & ~F.isnan(d) & (d < float("inf")), x)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double to ``places`` decimals as SQL engines on doubles round: times 10 ** places, half away from zero, divided again.
+    Spark's round takes the shortest decimal text instead, so the two part where a value lies next to a half."""
+    scaled = F.abs(x) * float(10**places)
+    whole = F.floor(scaled)
+    up = (whole + (scaled - whole >= 0.5).cast("long")) / float(10**places)
+    return F.when(F.isnan(x) | (scaled >= float(1 << 52)), x).when(x < 0, -up).otherwise(up)
+
+
 def read_number(text: Column, confidence: Column, most: int, least: float = 0.88) -> Column:
     """The whole number a reading holds, if it is sure enough and not above ``most``; else null."""
     value = F.btrim(text).try_cast("long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import rounded
 from ..operators import tracks
 from ..session import ship
 from ..streaming import jobs
@@ -73,7 +74,7 @@ def log_progress(spark, sf_dir):
 def throughput(spark, sf_dir):
     rows = hud(spark, sf_dir).select("user_id", "t_us", F.col("frame").alias("done")).withColumn("total", F.lit(100))
     out = jobs.throughput(rows, "user_id", "t_us", "done", "total", 6 * SECOND, 2 * SECOND)
-    return out.select("user_id", "t_us", F.round("speed", 6).alias("speed"), F.round("eta", 4).alias("eta"))
+    return out.select("user_id", "t_us", rounded(F.col("speed"), 6).alias("speed"), rounded(F.col("eta"), 4).alias("eta"))
 
 
 def active_seconds(spark, sf_dir):

@@ -126,11 +126,12 @@ def agreed_number(reads: DataFrame, keys: list[str], text: str, confidence: str,
     return second.select(*keys, "agreed", F.col(confidence).alias("confidence"))
 
 
-def unanimous(rows: DataFrame, keys: list[str], value: str, least: int = 2, confidence: str | None = None) -> DataFrame:
-    """(keys, agreed, votes[, confidence]) where at least ``least`` rows have a value and all have the same; as sure as the least sure."""
+def unanimous(rows: DataFrame, keys: list[str], value: str, least: int = 2, confidence: str | None = None, weight: str | None = None) -> DataFrame:
+    """(keys, agreed, votes[, confidence]) where at least ``least`` rows have a value and all have the same; as sure as the least sure.
+    weight: how many readings a row stands for."""
     known = rows.where(F.col(value).isNotNull())
     more = [F.min(confidence).alias("confidence")] if confidence else []
-    g = known.groupBy(*keys).agg(F.min(value).alias("agreed"), F.max(value).alias("_m"), F.count("*").alias("votes"), *more)
+    g = known.groupBy(*keys).agg(F.min(value).alias("agreed"), F.max(value).alias("_m"), (F.sum(weight) if weight else F.count("*")).alias("votes"), *more)
     return g.where((F.col("agreed") == F.col("_m")) & (F.col("votes") >= least)).drop("_m")
 
 
@@ -191,18 +192,20 @@ def account_prefixes(confirmed: DataFrame, prefixes: DataFrame, keys: list[str],
 
     confirmed: one row for each clip with a confirmed account; names of at least ``clips`` clips count. A prefix (its last letter is
     dropped: it may be half covered) votes if it starts exactly one of them and covers half of it; two votes for one name and none
-    for another decide. The join is on the prefix itself: every account gives all its prefixes of half its length or more."""
-    known = confirmed.groupBy(F.col(name).alias("known")).agg(F.count("*").alias("n")).where(F.col("n") >= clips).withColumn("k", name_key(F.col("known"))).where(F.length("k") >= 2)
+    for another decide. The join is on the prefix itself: every account gives all its prefixes of half its length or more, but a
+    start that several accounts share is one row, and so are equal readings: no join makes more rows than there are readings."""
+    known = confirmed.groupBy(F.col(name).alias("known")).agg(F.count("*").alias("n")).where(F.col("n") >= clips).select("known", name_key(F.col("known")).alias("k")).where(F.length("k") >= 2)
     cuts = F.transform(F.sequence(F.ceil(F.length("k") / 2).cast("int"), F.length("k")), lambda i: F.substring(F.col("k"), F.lit(1), i))
-    starts = known.where(F.length("k") >= 4).select("known", F.explode(cuts).alias("p"))
-    bare = F.regexp_replace(F.col(prefix), r"^\W*[A-Za-z0-9]{2,6}\W*\s+", "")
-    key = name_key(bare)
-    p = prefixes.where(F.col(confidence) >= 0.85).select(*keys, F.col(confidence).alias("c"), F.monotonically_increasing_id().alias("_id"), name_key(F.col(prefix)).alias("whole"), F.substring(key, F.lit(1), F.length(key) - 1).alias("p"))
-    enough = (F.length("p") >= 3) | ((F.length("p") >= 2) & ~F.col("p").rlike(r"^\p{ASCII}*$"))
-    exact = p.join(known.select("known", F.col("k").alias("whole")), "whole").select(*keys, "_id", "c", "known")
-    begun = p.where(enough).join(starts, "p").join(exact.select("_id").distinct(), "_id", "left_anti").select(*keys, "_id", "c", "known")
-    single = exact.unionByName(begun).groupBy(*keys, "_id", "c").agg(F.min("known").alias("name"), F.countDistinct("known").alias("n")).where("n = 1")
-    return unanimous(single, keys, "name", 2, "c").select(*keys, F.col("agreed").alias("name"), "confidence", "votes")
+    one = lambda rows, key: rows.groupBy(key).agg(F.min("known").alias("_name"), F.count("*").alias("_known")).select(key, F.when(F.col("_known") == 1, F.col("_name")).alias(f"{key}_name"), F.lit(True).alias(f"{key}_found"))
+    exact = one(known.select("known", F.col("k").alias("_whole")), "_whole")
+    begun = one(known.where(F.length("k") >= 4).select("known", F.explode(cuts).alias("_p")), "_p")
+    equal = prefixes.where(F.col(confidence) >= 0.85).groupBy(*keys, F.col(prefix).alias("_prefix")).agg(F.min(confidence).alias("_c"), F.count("*").alias("_votes"))
+    key = name_key(F.regexp_replace(F.col("_prefix"), r"^\W*[A-Za-z0-9]{2,6}\W*\s+", ""))
+    p = equal.select(*keys, "_c", "_votes", name_key(F.col("_prefix")).alias("_whole"), F.substring(key, F.lit(1), F.length(key) - 1).alias("_p"))
+    enough = (F.length("_p") >= 3) | ((F.length("_p") >= 2) & ~F.col("_p").rlike(r"^\p{ASCII}*$"))
+    both = p.join(exact, "_whole", "left").join(begun, "_p", "left")
+    meant = F.when(F.col("_whole_found"), F.col("_whole_name")).when(enough, F.col("_p_name"))
+    return unanimous(both.withColumn("_name", meant), keys, "_name", 2, "_c", "_votes").select(*keys, F.col("agreed").alias("name"), "confidence", "votes")
 
 
 def nearest_confirmed(rows: DataFrame, marks: DataFrame, key: str, time: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from tidemark.llm import lm_scoring as L
+from tidemark.llm.common import BATCH
 
 
 @pytest.mark.parametrize("slice_size", [L.SLICE, 40])
@@ -46,3 +47,29 @@ def test_repeated_doc_id(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (2, "a c")], "doc_id long, text string")
     got = sorted((r.doc_id, r.n_words, round(r.score, 9)) for r in L.score(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect())
     assert [g[:2] for g in got] == [(1, 1), (1, 2), (1, 2), (2, 2)] and got[1] == got[2]
+
+
+def test_large_rows_travel_in_small_batches(spark, monkeypatch):
+    """Slices ask and are answered in batches of bounded bytes, whose setting is gone afterwards, and workers give memory back."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(d, " ".join(f"w{rng.randrange(60_000)}" for _ in range(60_000))) for d in range(12)], "doc_id long, text string").coalesce(1)
+    most, back = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    real, answer = L._final, L._answer
+
+    def seen(run):
+        def watched(batches):
+            def counted():
+                for b in batches:
+                    most.add(max(0, b.nbytes - 3 * L.BATCH_BYTES))
+                    back.add(1)
+                    yield b
+
+            return run(counted())
+
+        return watched
+
+    monkeypatch.setattr(L, "_answer", seen(answer))
+    monkeypatch.setattr(L, "_final", lambda *a: seen(real(*a)))
+    before = spark.conf.get(BATCH)
+    assert L.score(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 12
+    assert spark.conf.get(BATCH) == before and back.value > 2 and most.value == 0

@@ -37,20 +37,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends in files that outlive any executor."""
-    spark = df.sparkSession
-    path = path or fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tidemark_path = path
-    return out
-
-
-#: Spark's setting that deletes a query's shuffle files when the query has ended.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 #: Spark's setting of the bytes in an Arrow batch sent to Python; the JVM holds a batch outside its heap, the worker several times over.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
@@ -67,11 +53,26 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         conf.set(key, before) if before is not None else conf.unset(key)
 
 
+def settle(df: DataFrame, name: str, path: str | None = None, batch: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage ends in files that outlive any executor. batch: bytes in an Arrow
+    batch, where rows are large or much is made of each."""
+    spark = df.sparkSession
+    path = path or fresh_path(spark, name)
+    with setting(spark, BATCH, str(batch)) if batch else contextlib.nullcontext():
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+#: Spark's setting that deletes a query's shuffle files when the query has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle_once(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
-    """settle, after which nothing reads df's shuffle files again: they are deleted at its end, not when the driver next collects
-    garbage. batch: bytes in an Arrow batch, where rows are large."""
-    with setting(df.sparkSession, CLEAN_UP, "true"), setting(df.sparkSession, BATCH, str(batch)) if batch else contextlib.nullcontext():
-        return settle(df, name)
+    """settle, after which nothing reads df's shuffle files again: they are deleted at its end, not when the driver next collects garbage."""
+    with setting(df.sparkSession, CLEAN_UP, "true"):
+        return settle(df, name, batch=batch)
 
 
 def lean(run: Callable) -> Callable:
@@ -135,7 +136,7 @@ def contract(edges: DataFrame, a: str = "a", b: str = "b", most: int = 400_000)
         yield flush()
 
     some = edges.select(F.col(a).cast("long"), F.col(b).cast("long")).where(f"{a} is not null and {b} is not null and {a} <> {b}")
-    return some.mapInArrow(run, "u long, v long")
+    return some.mapInArrow(lean(run), "u long, v long")
 
 
 def labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

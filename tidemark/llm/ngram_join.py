@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, components, forget, labels, settle, settle_once, small
+from .common import BATCH_BYTES, BROADCAST_BYTES, components, forget, labels, lean, settle, settle_once, small
 from .words import ascii_words, hashed, mix, slices
 
 WORDS, PERCENT = 4, 85
@@ -43,6 +43,8 @@ ROUNDS, LEADERS, MEETINGS, PER_SALT, BITS = 3, (4, 24), 32, 2000, 1024
 BITMAP_BYTES = 12 << 20
 #: Shifts a size above any place in a prefix.
 PLACE = 1 << 32
+#: Bytes of text whose shingles are made at once.
+SLICE = 1 << 20
 #: Sets a task remembers, so that it stores equal ones once.
 SEEN = 500_000
 
@@ -84,7 +86,7 @@ def _sets(rows: DataFrame, words: int, keep: list[str]) -> DataFrame:
     def make(batches):
         seen: set[bytes] = set()
         for b in batches:
-            for begin, end in slices(b.column(b.num_columns - 1)):
+            for begin, end in slices(b.column(b.num_columns - 1), SLICE):
                 part = b.slice(begin, end - begin)
                 n, cids, sets = [], [], []
                 for s in shingles(part.column(b.num_columns - 1), words):
@@ -100,7 +102,7 @@ def _sets(rows: DataFrame, words: int, keep: list[str]) -> DataFrame:
 
     plain = rows.select("rid", F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), *keep, F.coalesce("text", F.lit("")).alias("text"))
     kept = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return settle(plain.mapInArrow(make, f"rid long, doc_id long, digest string{kept}, n long, cid binary, set array<long>"), "sets")
+    return settle(plain.mapInArrow(lean(make), f"rid long, doc_id long, digest string{kept}, n long, cid binary, set array<long>"), "sets", batch=BATCH_BYTES)
 
 
 def _cell_counts(sets: DataFrame) -> DataFrame:
@@ -132,13 +134,13 @@ def _cell_counts(sets: DataFrame) -> DataFrame:
         cell = np.flatnonzero(sums > 1)
         return pa.RecordBatch.from_arrays([pa.array(cell + r * width, pa.int64()), pa.array(sums[cell], pa.int64())], names=["cell", "n"])
 
-    parts = sets.where("set is not null").select("set").mapInArrow(count, "range int, cells binary")
-    return parts.repartition("range").sortWithinPartitions("range").mapInArrow(total, "cell long, n long")
+    parts = sets.where("set is not null").select("set").mapInArrow(lean(count), "range int, cells binary")
+    return parts.repartition("range").sortWithinPartitions("range").mapInArrow(lean(total), "cell long, n long")
 
 
 def hot_cells(sets: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent cells, sorted, with their counts: those above the least power of two that at most ``most`` exceed."""
-    counts = settle_once(_cell_counts(sets), "cells")
+    counts = settle_once(_cell_counts(sets), "cells", 2 * BATCH_BYTES)
     hist = sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).count().collect()), reverse=True)
     least, seen = 62, 0
     for p, c in hist:
@@ -177,8 +179,8 @@ def _classes(sets: DataFrame, percent: int) -> DataFrame:
                 gids.append(hashlib.md5(n.to_bytes(8, "little") + prefix.tobytes()).digest())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(gids, pa.binary()), _lists(prefixes, pa.int64()), _lists(bits, pa.int64())], names=["rid", "cid", "n", "gid", "prefix", "bits"])
 
-    made = sets.where("set is not null").select("rid", "cid", "n", "set").mapInArrow(make, "rid long, cid binary, n long, gid binary, prefix array<long>, bits array<long>")
-    return settle_once(made.groupBy("cid").agg(F.min("rid").alias("rid"), *[F.min_by(c, "rid").alias(c) for c in ("n", "gid", "prefix", "bits")]), "classes")
+    made = sets.where("set is not null").select("rid", "cid", "n", "set").mapInArrow(lean(make), "rid long, cid binary, n long, gid binary, prefix array<long>, bits array<long>")
+    return settle_once(made.groupBy("cid").agg(F.min("rid").alias("rid"), *[F.min_by(c, "rid").alias(c) for c in ("n", "gid", "prefix", "bits")]), "classes", BATCH_BYTES)
 
 
 def hot_keys(many: DataFrame, key: str, rows: int | None = None) -> DataFrame | None:

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import give_back
+
 WINDOW, STRIDE = 48, 24
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, LEAST_TEXTS, BATCH = 4000, 24 << 20, 4, 8, 64
 WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 15, 1 << 12, 12, 8, 8, 8
@@ -288,5 +290,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, net: Network | None = None) -
         seen = Vocabulary()
         for t in texts:
             yield pd.Series(np.concatenate([scores(model.value, t.iloc[lo : lo + 256], seen) for lo in range(0, len(t), 256)] or [np.empty(0)]))
+        give_back()
 
     return docs.where(F.pandas_udf(run, "double")(F.coalesce("text", F.lit(""))) < 0.5)

@@ -2,6 +2,9 @@ import random
 
 import corpus_pipeline
 from test_toxicity import rows
+from tidemark.llm import sentencepiece_bpe
+from tidemark.llm.common import BATCH, BATCH_BYTES, lean
+from tidemark.llm.registry import tokenizer_path
 
 
 def test_each_stage_decides(spark, tmp_path):
@@ -33,3 +36,20 @@ def test_copies_between_the_two_thresholds(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(110))
     docs = spark.createDataFrame([(1, text), (2, text + "".join(f" x{i}" for i in range(22))), (3, text + "".join(f" y{i}" for i in range(40)))], "doc_id long, text string")  # Jaccard 0.83 and 0.73
     assert sorted(r.doc_id for r in corpus_pipeline.without_copies(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
+def test_a_stage_drops_what_the_tokenizer_kept_in_its_worker():
+    path = tokenizer_path("piece_bpe_32k.model")
+    kept = sentencepiece_bpe.codec(path)
+    assert list(lean(iter, sentencepiece_bpe.OWN)([1, 2])) == [1, 2] and sentencepiece_bpe.codec(path) is kept
+    assert list(lean(iter)([1, 2])) == [1, 2] and not sentencepiece_bpe._codecs
+
+
+def test_stages_send_small_batches_unless_told_otherwise(spark, tmp_path):
+    for asked in (None, 1 << 20):
+        own = spark.newSession()
+        if asked:
+            own.conf.set(BATCH, str(asked))
+        docs = own.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+        corpus_pipeline.token_ids(own, docs, str(tmp_path))
+        assert own.conf.get(BATCH) == str(asked or BATCH_BYTES)

@@ -75,17 +75,30 @@ def settle_once(df: DataFrame, name: str, batch: int | None = None) -> DataFrame
         return settle(df, name, batch=batch)
 
 
-def lean(run: Callable) -> Callable:
+#: What operators keep in a worker from task to task, by name.
+KEPT: dict[str, dict] = {}
+
+
+def lean(run: Callable, own: str | None = None) -> Callable:
     """run (of batches), after which its Python worker gives back what it no longer uses: workers wait for the next stage, and what
-    they keep counts in their executor's memory."""
+    they keep counts in their executor's memory. Before run, what other operators than ``own`` have kept there goes."""
 
     def freed(batches):
+        drop_kept(own)
         yield from run(batches)
         give_back()
 
     return freed
 
 
+def drop_kept(own: str | None = None) -> None:
+    others = [kept for name, kept in KEPT.items() if name != own and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        give_back()
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it

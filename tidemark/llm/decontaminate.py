@@ -68,7 +68,7 @@ def index(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     before and behind, ``rel`` the posting's own place in it. A document's closing posting has term END and its length as pos."""
     all_words = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.concat(split_words(F.col("text")), F.array(F.lit(END))).alias("w"))
     each = all_words.select("rid", "doc_id", "w", F.posexplode("w").alias("pos", "word")).withColumn("term", lower_ascii(F.col("word")))
-    wanted = small(terms.select("term").unionAll(docs.sparkSession.createDataFrame([(END,)], "term string")), 80)
+    wanted = small(terms.select("term").unionAll(docs.sparkSession.range(0, 1, 1, 1).select(F.lit(END).alias("term"))), 80)
     first = F.greatest(F.col("pos") - reach, F.lit(0))
     near = F.when(F.col("term") != END, F.transform(F.slice("w", first + 1, 2 * reach + 1), lower_ascii))
     return settle(each.join(wanted, "term").select("rid", "doc_id", "term", "pos", (F.col("pos") - first).alias("rel"), near.alias("near")), "postings")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, settle, small
+from .common import BROADCAST_BYTES, lean, settle, small
 
 KINDS = ("email", "ip", "card", "phone", "term", "secret")
 WINDOW, UNSEEN, DISCLOSURE, REMOVE = 8, 3, 0.75, 0.95
@@ -163,7 +163,7 @@ def scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "base", "secrets", "contexts"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) if keep else ""
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kept}, {DDL}")
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(run), f"{kept}, {DDL}")
 
 
 def revealing(scanned: DataFrame, texts: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -199,7 +199,7 @@ def _marked(scanned: DataFrame, terms: DataFrame) -> DataFrame:
                 found.append(occurrences(text, [(x["s"], x["k"], x["e"]) for x in base], {x["t"]: x["d"] for x in ts}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[dict(zip("sked", x, strict=True)) for x in f] for f in found], marks)], names=["rid", "terms"])
 
-    return scanned.select("rid", "held", "base").join(by_row, "rid").mapInArrow(run, "rid long, terms array<struct<s:int,k:int,e:int,d:double>>")
+    return scanned.select("rid", "held", "base").join(by_row, "rid").mapInArrow(lean(run), "rid long, terms array<struct<s:int,k:int,e:int,d:double>>")
 
 
 def _protected(found: DataFrame) -> DataFrame:
@@ -244,6 +244,6 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
             new = [mask(t, [(x["s"], x["k"], x["e"], x["d"]) for x in xs]) for t, xs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["rid", "masked"])
 
-    new = held.mapInArrow(run, "rid long, masked string")
+    new = held.mapInArrow(lean(run), "rid long, masked string")
     done = found.join(new, "rid", "left").withColumn("text", F.coalesce("masked", "text"))
     return done.select(*plain.columns).toDF(*names)

@@ -25,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEPT, give_back, lean
+
 NONE = np.int32(2**31 - 1)
 CACHE = 600_000
 SPACE = "▁"
 
-_codecs: dict[str, Codec] = {}
+#: Codecs by path, which a worker keeps until another operator's task begins there.
+OWN = "codecs"
+_codecs: dict[str, Codec] = KEPT.setdefault(OWN, {})
 
 
 class PairTable:
@@ -297,7 +301,7 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    """The codec of a model file, loaded once in each worker."""
+    """The codec of a model file, loaded once in each worker of a stage."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
@@ -349,5 +353,6 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
                     rows.append((len(ids), hashlib.sha256(",".join([c.digits[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
                 n, s, d = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(s), pa.array(d)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            give_back()  # the merge rounds' arrays of a few MB leave gaps that add up
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, OWN), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import give_back
+from .common import lean
 
 WINDOW, STRIDE = 48, 24
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, LEAST_TEXTS, BATCH = 4000, 24 << 20, 4, 8, 64
@@ -286,10 +286,12 @@ def keep_clean(docs: DataFrame, labels: DataFrame, net: Network | None = None) -
     """docs, all columns, without the rows predicted to be toxic."""
     model = docs.sparkSession.sparkContext.broadcast(net or learn(docs, labels))
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score_all(texts):
         seen = Vocabulary()
         for t in texts:
             yield pd.Series(np.concatenate([scores(model.value, t.iloc[lo : lo + 256], seen) for lo in range(0, len(t), 256)] or [np.empty(0)]))
-        give_back()
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return lean(score_all)(texts)
 
     return docs.where(F.pandas_udf(run, "double")(F.coalesce("text", F.lit(""))) < 0.5)
